@@ -1,0 +1,78 @@
+"""Shared-folder scratch tables, package shipping and Arrow helpers for the corpus operators."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+_PACKAGE = Path(__file__).resolve().parents[1]
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
+    temporary folder of this machine is taken.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="clonarium-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/clonarium-{label}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
+
+    The files outlive any executor. ``drop_stash`` removes them as soon as nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def drop_stash(*frames: DataFrame) -> None:
+    for df in frames:
+        if path := getattr(df, "_stash_path", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_clonarium_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="clonarium-")) / "clonarium_pkg.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(_PACKAGE.rglob("*.py")):
+            z.write(p, os.path.join(_PACKAGE.name, p.relative_to(_PACKAGE)))
+    sc.addPyFile(str(target))
+    sc._clonarium_shipped = True
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,0 +1,44 @@
+"""Connected components of a link table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clonarium.llm._store import drop_stash, stash
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    return row[0], row[1] or 0
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) -> (u, v): each node that is not the smallest of its component, with that smallest node.
+
+    Both steps keep components as they are. Their number grows with the logarithm of the longest path.
+    The edge table is written to the shared folder after each round, so a lost executor costs one round at most.
+    Hubs: minima are pre-aggregated before the shuffle, and the join back is one that adaptive execution can split.
+    """
+    edges = stash(links.where("u <> v").select("u", "v").distinct(), "edges")
+    before = _state(edges)
+    while True:
+        after = stash(_small_star(_large_star(edges)), "edges")
+        now = _state(after)
+        drop_stash(edges)
+        if now == before:
+            return after
+        edges, before = after, now
