@@ -29,6 +29,9 @@ FOLD = 16
 #: Signatures that a task holds before it sorts and emits them.
 HELD = 4_000_000
 
+#: Pairs of different components that a bucket has for each of its rows, on average, before they are compared one by one.
+CROSS = 4
+
 _META, _SIGNATURE, _PAIR = 0, 1, 2
 _SIGN_SCHEMA = "kind tinyint, route long, key long, a long, b long, n long"
 _SIGN_ARROW = pa.schema([("kind", pa.int8()), ("route", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -241,8 +244,8 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     * Repeated rows stay, and share their id's component. Rows with a null id are returned with a null component.
     * An empty table gives an empty result. Columns other than the two named are not looked at.
 
-    Exact: no link is lost to bands, buckets or groups. A first pass compares each member of a bucket with its smallest one;
-    whatever then lies in different components of a shared bucket is compared as well, after the Hamming filter.
+    Exact: no link is lost to bands, buckets or groups. A first pass compares each member of a bucket with its smallest one, further
+    passes with other members; whatever then lies in different components of a shared bucket is compared as well, after the Hamming filter.
     Equal sets count as one. Shingles are compared by 64-bit hashes, sets by 128 bits.
     """
     spark = docs.sparkSession
@@ -276,22 +279,39 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
         return joined.repartition(parts, "u", F.pmod(F.xxhash64("v"), F.lit(64))).sortWithinPartitions("u").mapInArrow(_verify(k, num, den, lower), "u long, v long")
 
     same = stands.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    links = stash(verified(first), "links")
-    group = components(links)
-
-    members = shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct()
-    placed = members.join(group.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 2 and lo < hi").select("key")
-    rows = stash(placed.join(open_keys, "key").join(store.drop("ztext"), "id"), "open")
-    here, there = rows.alias("here"), rows.alias("there")
-    differ = " + ".join(f"bit_count(here.s{i} ^ there.s{i})" for i in range(FOLD))
-    near = here.join(
-        there,
-        F.expr(f"here.key = there.key and here.id < there.id and here.comp <> there.comp and least(here.n, there.n) * {den} >= greatest(here.n, there.n) * {num} and ({differ}) * {den + num} <= (here.n + there.n) * {den - num}"),
-    ).select(F.col("here.id").alias("u"), F.col("there.id").alias("v"))
-    later = near.distinct().join(first, ["u", "v"], "left_anti")
-    whole = components(links.unionAll(verified(later)).unionAll(same))
-    drop_stash(paired, shared, store, links, group, rows)
+    tested, links = [first], [stash(verified(first), "links")]
+    group = components(links[0])
+    members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct().join(store.drop("ztext"), "id"), "members")
+    close = lambda a, b: f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num} and (" + " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(FOLD)) + f") * {den + num} <= ({a}.n + {b}.n) * {den - num}"
+    last = None
+    while True:
+        placed = members.join(group.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        by = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        # A bucket of two was compared as a whole by the first pass.
+        open_keys = by.where("c > 2 and same < c * c")
+        rows = stash(placed.join(open_keys.withColumn("cross", F.expr("(cast(c as double) * c - same) / 2")).select("key", "cross", "c"), "key"), "open")
+        cross, held = rows.agg(F.sum(F.col("cross") / F.col("c")), F.count("*")).first()
+        # Cross pairs of a bucket are compared one by one only once comparing with single members has brought them down, or no longer does.
+        if not held or cross <= CROSS * held or (last is not None and cross > 0.9 * last):
+            break
+        last = cross
+        pivot = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "n", *(f"s{i}" for i in range(FOLD))), F.xxhash64("id", F.lit(len(tested)))).alias("p")).select("key", "p.*")
+        met = rows.alias("here").join(pivot.alias("there"), F.expr(f"here.key = there.key and here.comp <> there.comp and {close('here', 'there')}"))
+        pairs = met.select(F.least("here.id", "there.id").alias("u"), F.greatest("here.id", "there.id").alias("v")).distinct()
+        for done in tested:
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        pairs = stash(pairs, "tested")
+        tested.append(pairs)
+        links.append(stash(verified(pairs), "links"))
+        drop_stash(rows)
+        before, group = group, components(group.unionAll(links[-1]))
+        drop_stash(before)
+    near = rows.alias("here").join(rows.alias("there"), F.expr(f"here.key = there.key and here.id < there.id and here.comp <> there.comp and {close('here', 'there')}"))
+    later = near.select(F.col("here.id").alias("u"), F.col("there.id").alias("v")).distinct()
+    for done in tested:
+        later = later.join(done, ["u", "v"], "left_anti")
+    whole = components(group.unionAll(verified(later)).unionAll(same))
+    drop_stash(paired, shared, store, group, members, rows, *links, *tested[1:])
     whole = whole.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
     known_rows = stands.join(whole, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))

@@ -22,3 +22,40 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clonarium.llm.ngram_join import similar_sets
 
     return similar_sets(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clonarium.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.quality import assess
+
+    return assess(table(spark, sf_dir, "documents"))
