@@ -15,21 +15,26 @@ SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
 #: (name, good if, bad if) over the statistics; where neither holds the rule abstains. Bad wins if both hold.
+#: Rules whose absence of a fault says little vote bad or abstain.
 RULES = (
-    ("length", "n_words >= 30", "n_words < 10"),
-    ("word_length", "word_chars between 3 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    ("symbols", "100 * n_symbols <= n_words", "10 * n_symbols > 2 * n_words"),
-    ("repeat_lines", "n_dup_lines = 0", "100 * n_dup_lines > 30 * n_lines"),
-    ("repeat_words", "n_repeat_words = 0", "100 * n_repeat_words > 20 * n_words"),
-    ("alphabetic", "100 * n_letters >= 80 * word_chars", "100 * n_letters < 50 * word_chars"),
-    ("sentences", "n_stops >= 1 and n_words < 80 * n_stops", "n_words >= 60 and n_stops = 0"),
-    ("distinct", "100 * n_distinct >= 30 * n_words", "100 * n_distinct < 15 * n_words"),
+    ("length", "false", "n_words < 10"),
+    ("word_length", "false", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    ("symbols", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars"),
+    ("repeat_lines", "false", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeat_words", "n_words >= 50 and n_repeat_words = 0", "100 * n_repeat_words > 20 * n_words"),
+    ("alphabetic", "100 * n_letters >= 90 * word_chars", "100 * n_letters < 80 * word_chars"),
+    ("shouting", "false", "n_words >= 20 and 100 * n_upper > 50 * n_letters"),
+    ("distinct", "n_words >= 50 and n_distinct >= 4 * pow(n_words, 0.6)", "n_words >= 50 and n_distinct < 2.5 * pow(n_words, 0.6)"),
 )
 GOOD, BAD, ABSTAIN = 1, 0, 2
-#: Expectation-maximisation stops when no accuracy moves more, or after so many rounds.
+#: Expectation-maximisation stops when no probability moves more, or after so many rounds.
 TOLERANCE, ROUNDS = 1e-7, 200
-#: Pseudo-counts (right, wrong) that each rule starts from; they keep accuracies off 0 and 1 and fix which class is "good".
-PRIOR = (8.0, 2.0)
+#: Pseudo-counts of the votes (bad, good, abstain) of a rule on good and on bad documents; they keep probabilities off 0
+#: and 1 and fix which class is "good".
+ON_GOOD, ON_BAD = (0.2, 12.0, 8.0), (8.0, 4.0, 8.0)
+#: Documents stay from this posterior probability on. It is low on purpose: rules are not quite independent, and a clean
+#: document lost costs more than a poor one kept.
+THRESHOLD = 0.001
 #: Pseudo-counts (good, bad) of the share of good documents.
 BALANCE = (9.0, 1.0)
 
@@ -72,7 +77,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         long(F.size("lines")).alias("n_lines"),
         long(F.size(F.array_distinct("h"))).alias("n_distinct"),
         long(F.length(joined) - F.length(F.regexp_replace(joined, r"[\p{P}\p{S}\p{N}\p{C}]+", ""))).alias("_other"),
-        long(F.regexp_count("t", F.lit(r"[.!?。！？]"))).alias("n_stops"),
+        long(F.length(joined) - F.length(F.regexp_replace(joined, r"\p{Lu}+", ""))).alias("n_upper"),
     ).withColumn("n_letters", F.expr("word_chars - _other")).drop("_other")
 
 
@@ -83,40 +88,38 @@ def votes(stats: DataFrame) -> DataFrame:
     return stats.withColumn("base_failed", base_failed).withColumn("pattern", F.expr(pattern).cast("int"))
 
 
-def fit(counts: dict[int, int], rules: int = len(RULES)) -> tuple[dict[int, float], list[float], float]:
-    """Accuracies of the rules and the share of good documents by expectation-maximisation; posterior by pattern.
+def fit(counts: dict[int, int], rules: int = len(RULES)) -> tuple[dict[int, float], list[tuple[list[float], list[float]]], float]:
+    """Posterior probability of good by vote pattern, the rules' vote probabilities on (good, bad) documents, the share of good ones.
 
     ``counts`` holds the number of documents of each vote pattern: 3 ** rules of them at most, however many documents.
-    Given the class, rules vote independently; each is right with one probability where it votes.
+    Given the class, rules vote or abstain independently; how often each does what on either class is estimated by
+    expectation-maximisation.
     """
     digit = {p: [p // 3**i % 3 for i in range(rules)] for p in counts}
-    right, good = [PRIOR[0] / sum(PRIOR)] * rules, BALANCE[0] / sum(BALANCE)
+    scaled = lambda x: [v / sum(x) for v in x]
+    model = [(scaled(ON_GOOD), scaled(ON_BAD)) for _ in range(rules)]
+    good = BALANCE[0] / sum(BALANCE)
     posterior: dict[int, float] = {}
     for _ in range(ROUNDS):
         for p, v in digit.items():
-            odds = math.log(good) - math.log1p(-good)
-            for r, x in zip(right, v, strict=True):
-                if x != ABSTAIN:
-                    odds += (math.log(r) - math.log1p(-r)) * (1 if x == GOOD else -1)
+            odds = math.log(good) - math.log1p(-good) + sum(math.log(g[x]) - math.log(b[x]) for (g, b), x in zip(model, v, strict=True))
             posterior[p] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
         new = []
         for i in range(rules):
-            hit, miss = PRIOR
+            on_good, on_bad = list(ON_GOOD), list(ON_BAD)
             for p, v in digit.items():
-                if v[i] != ABSTAIN:
-                    yes = posterior[p] if v[i] == GOOD else 1 - posterior[p]
-                    hit, miss = hit + counts[p] * yes, miss + counts[p] * (1 - yes)
-            new.append(hit / (hit + miss))
-        total = sum(counts.values())
-        share = (BALANCE[0] + sum(counts[p] * posterior[p] for p in counts)) / (sum(BALANCE) + total)
-        moved = max([abs(a - b) for a, b in zip(new, right, strict=True)] + [abs(share - good)])
-        right, good = new, share
+                on_good[v[i]] += counts[p] * posterior[p]
+                on_bad[v[i]] += counts[p] * (1 - posterior[p])
+            new.append((scaled(on_good), scaled(on_bad)))
+        share = (BALANCE[0] + sum(counts[p] * posterior[p] for p in counts)) / (sum(BALANCE) + sum(counts.values()))
+        moved = max([abs(x - y) for a, b in zip(new, model, strict=True) for u, w in zip(a, b, strict=True) for x, y in zip(u, w, strict=True)] + [abs(share - good)])
+        model, good = new, share
         if moved < TOLERANCE:
             break
-    return posterior, right, good
+    return posterior, model, good
 
 
-def assess(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assess(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: its statistics, base_failed, quality (posterior probability) and kept.
 
     kept is false where base_failed holds, else quality >= ``threshold``. Votes are learned from all documents: their
@@ -133,7 +136,7 @@ def assess(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
     return out.drop("pattern").withColumnRenamed("doc_id", id_col)
 
 
-def keep_good(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with their columns as they are."""
     seen = stash(votes(statistics(docs, id_col, text_col)), "votes")
     counts = {r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()}

@@ -59,3 +59,33 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clonarium.llm.quality import assess
 
     return assess(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clonarium.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clonarium.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
