@@ -34,8 +34,8 @@ BLOCK = 4096
 PERCENTILE = 90
 #: Text bytes of a section, about: what a task holds at once.
 SECTION = 4 << 20
-#: Encoded words that a worker keeps, twice.
-KEPT = 350_000
+#: Encoded parts that a worker keeps, at about 40 bytes each.
+KEPT = 2_000_000
 _HEAD = struct.Struct("<IHBH")
 
 
@@ -106,12 +106,11 @@ def read_sections(data: bytes, with_ids: bool = True) -> Iterator[tuple[np.ndarr
 
 
 class Encoder:
-    """Encodes texts with a byte-level tokenizer file, whole words from memory where it can.
+    """Encodes texts with a byte-level tokenizer file, parts of them from memory where it can.
 
-    The tokenizer's pre-tokenisation starts a new piece at each single space, and at each single line feed, between two other
-    characters, so a text is the sum of its parts cut there. Parts that were met before are looked up; the others are
-    encoded by the tokenizers library, many in one string with line feeds between. Texts that such a cut could change (a space
-    or line feed beside white space or at an end) go to the library whole.
+    The tokenizer's pre-tokenisation starts a new piece at each space or line feed that stands alone between other
+    characters, so a text is the sum of its parts cut there. Parts are told apart by 64-bit hashes; those not met before are
+    encoded by the tokenizers library, many in one string with line feeds between, and parts with more white space inside one by one.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -120,71 +119,90 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         # A special token's name in a text is ordinary text.
         self.tool.encode_special_tokens = True
-        # Two generations of known parts: the older one goes when the younger is full.
-        self.kept, self.known, self.older = kept, {}, {}
+        self.kept = kept
+        self.clear()
         line, after = self.ids("\n x"), self.ids("\nx")
+        #: The id of a line feed; None if the tokenizer does not cut as described, and then texts are not cut.
         self.line = line[0] if line[1:] == self.ids(" x") and after[1:] == self.ids("x") and line[0] == after[0] else None
 
+    def clear(self) -> None:
+        self.codes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
     def ids(self, text: str) -> list[int]:
         return self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def plain(self, text: str) -> bytes:
-        return np.array(self.ids(text), "<u4").tobytes()
-
-    def learn(self, parts: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of parts; each has no white space, but for a line feed that it may begin with. Without one, it is encoded after a space."""
-        out = {}
+    def _joined(self, parts: list[bytes], before: bytes, skip: int) -> list[np.ndarray]:
+        """Ids of parts without white space but for their first byte; ``before`` makes each begin with a line feed's id, ``skip`` drops it."""
+        out = []
         for lo in range(0, len(parts), 20_000):
             some = parts[lo : lo + 20_000]
-            ids = np.array(self.ids(lead + lead.join(some)), "<u4")
+            ids = np.array(self.ids((before + before.join(some)).decode()), np.uint32)
             cut = np.flatnonzero(ids == self.line)
             if len(cut) != len(some):
-                out |= {p: self.plain((" " if lead else "") + p) for p in some}
-                continue
-            raw, starts, ends = ids.tobytes(), (cut + bool(lead)) * 4, np.r_[cut[1:], len(ids)] * 4
-            out |= {p: raw[a:b] for p, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True)}
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        cut: list[list[str] | None] = []
-        met: set[str] = set()
-        for text in texts:
-            # A line feed goes with the part after it. A space before one, or two together, would be lost by that.
-            parts = None if self.line is None or " \n" in text or "\n\n" in text else text.replace("\n", " \n").split(" ")
-            if parts is not None and "" in parts:
-                parts = None
-            cut.append(parts)
-            if parts:
-                met.update(parts[1:])
-        known, older = self.known, self.older
-        unknown = met.difference(known)
-        fresh, spaced, lined, loose = {}, [], [], set()
-        for p in unknown:
-            if (x := older.get(p)) is not None:
-                fresh[p] = x
-            elif len(q := p.split()) == 1 and len(q[0]) == len(p) - (p[0] == "\n"):
-                (lined if p[0] == "\n" else spaced).append(p)
-            elif p[0].isspace() or p[-1].isspace():
-                loose.add(p)
-            else:
-                fresh[p] = self.plain(" " + p)
-        fresh |= self.learn(spaced, "\n ")
-        fresh |= self.learn(lined, "")
-        if len(known) + len(fresh) > self.kept:
-            fresh |= {p: known[p] for p in met.intersection(known)}
-            self.older, self.known = known, fresh
-        else:
-            known.update(fresh)
-        look = self.known
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None or parts[0][-1].isspace() or (loose and not loose.isdisjoint(parts)):
-                out.append(self.plain(text))
+                out += [np.array(self.ids(p.decode()), np.uint32) for p in some]
             else:
-                out.append(self.plain(parts[0]) + b"".join([look[p] for p in parts[1:]]))
+                out += [x[skip:] for x in np.split(ids, cut[1:])]
         return out
 
+    def _learn(self, code: np.ndarray, parts: list[bytes], solid: np.ndarray) -> None:
+        lined = np.array([p[:1] == b"\n" for p in parts], bool)
+        ids: list[np.ndarray] = [None] * len(parts)  # type: ignore[list-item]
+        for own, before, skip in ((solid & ~lined, b"\n", 1), (solid & lined, b"", 0)):
+            at = np.flatnonzero(own)
+            if len(at):
+                for i, x in zip(at.tolist(), self._joined([parts[i] for i in at], before, skip), strict=True):
+                    ids[i] = x
+        for i in np.flatnonzero(~solid).tolist():
+            ids[i] = np.array(self.ids(parts[i].decode()), np.uint32)
+        if len(self.codes) + len(code) > self.kept:
+            self.clear()
+        size = np.array([len(x) for x in ids])
+        start = np.cumsum(size) - size + len(self.flat)
+        at = np.searchsorted(self.codes, code)
+        self.codes, self.starts, self.sizes = np.insert(self.codes, at, code), np.insert(self.starts, at, start), np.insert(self.sizes, at, size)
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def encode(self, data: np.ndarray, at: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes and offsets of texts -> (ids of all texts, number of each text's ids), with ``end`` after each text if given."""
+        rows = len(at) - 1
+        counts = np.zeros(rows, np.int64)
+        ids = np.zeros(0, np.uint32)
+        if len(data):
+            space = K.SPACE[data]
+            first = np.zeros(len(data) + 1, bool)
+            if self.line is not None and len(data) > 2:
+                first[1:-2] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~space[:-2] & ~space[2:]
+                first[at[1:-1] - 1] = False  # a blank that ends a text; one that begins a text begins a part anyway
+            first[at] = True
+            first[len(data)] = False
+            starts = np.flatnonzero(first)
+            ends = np.append(starts[1:], len(data))
+            row = np.searchsorted(at, starts, "right") - 1
+            code = K.hash_spans(data, starts, ends)
+            distinct, sample, back = np.unique(code, return_index=True, return_inverse=True)
+            known = np.zeros(len(distinct), bool)
+            if len(self.codes):
+                place = np.minimum(np.searchsorted(self.codes, distinct), len(self.codes) - 1)
+                known = self.codes[place] == distinct
+            if not known.all():
+                if len(self.codes) + int((~known).sum()) > self.kept:
+                    self.clear()
+                    known[:] = False
+                new = sample[~known]
+                blanks = np.cumsum(space)
+                lead = space[starts[new]] & ((data[starts[new]] == 32) | (data[starts[new]] == 10)) & (ends[new] - starts[new] > 1)
+                solid = (blanks[ends[new] - 1] - blanks[starts[new]] + space[starts[new]] == lead) & (self.line is not None)
+                raw = data.tobytes()
+                self._learn(distinct[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], solid)
+            place = np.searchsorted(self.codes, distinct)[back]
+            size, start = self.sizes[place], self.starts[place]
+            ids = self.flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            counts = np.bincount(row, weights=size, minlength=rows).astype(np.int64)
+        if end is not None:
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end))
+            counts = counts + 1
+        return ids, counts
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -198,15 +216,12 @@ def encoder(path: str) -> Encoder:
 def _write(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        stop = np.array([end], "<u4").tobytes()
         for batch in batches:
             data, at = K.text_buffers(batch.column(1))
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, part, off in K.chunks(data, at, SECTION):
-                raw = part.tobytes()
-                rows = [x + stop for x in tool.encode([raw[off[i] : off[i + 1]].decode() for i in range(hi - lo)])]
-                counts = np.array([len(x) // 4 for x in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([pack_section(docs[lo:hi], counts, np.frombuffer(b"".join(rows), "<u4"))], pa.binary())], names=["section"])
+                ids, counts = tool.encode(part, off, end)
+                yield pa.RecordBatch.from_arrays([pa.array([pack_section(docs[lo:hi], counts, ids)], pa.binary())], names=["section"])
 
     return run
 
