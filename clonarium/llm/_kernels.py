@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call handles at once; a longer text forms a call of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))

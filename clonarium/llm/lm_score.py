@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonarium.llm import _kernels as K
-from clonarium.llm._store import drop_stash, ship, stash
+from clonarium.plans.store import drop_stash, ship, stash
 
 U = np.uint64
 #: Stands for the end of a text and for what precedes its start; no UTF-8 text has it.

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonarium.llm import _kernels as K
-from clonarium.llm._store import drop_stash, partitions, ship, stash
-from clonarium.llm.components import components
+from clonarium.plans.store import drop_stash, partitions, ship, stash
+from clonarium.plans.components import components
 
 U = np.uint64
 #: 64-bit words of the folded sketch that the Hamming filter compares.
 FOLD = 16
 #: Signatures that a task holds before it sorts and emits them.
-HELD = 4_000_000
+HELD = 1_500_000
 
 #: Pairs of different components that a bucket has for each of its rows, on average, before they are compared one by one.
 CROSS = 4

@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonarium.llm import _kernels as K
-from clonarium.llm._store import new_folder, partitions, ship
+from clonarium.plans.store import new_folder, partitions, ship
 
 MAGIC = b"PFR1"
 BLOCK = 4096
 PERCENTILE = 90
 #: Text bytes of a section, about: what a task holds at once.
-SECTION = 4 << 20
+SECTION = 2 << 20
 #: Encoded parts that a worker keeps, at about 40 bytes each.
-KEPT = 2_000_000
+KEPT = 1_200_000
 _HEAD = struct.Struct("<IHBH")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonarium.llm._store import partitions, ship, stash
+from clonarium.plans.store import partitions, ship, stash
 
 #: Rows of an index block, queries of a query block.
 ROWS, QUERIES = 8192, 256

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonarium.llm._store import new_folder, ship
+from clonarium.plans.store import new_folder, ship
 
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
