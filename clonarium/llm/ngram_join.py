@@ -27,7 +27,7 @@ U = np.uint64
 #: 64-bit words of the folded sketch that the Hamming filter compares.
 FOLD = 16
 #: Signatures that a task holds before it sorts and emits them.
-HELD = 1_500_000
+HELD = 750_000
 
 #: Pairs of different components that a bucket has for each of its rows, on average, before they are compared one by one.
 CROSS = 4
@@ -112,6 +112,12 @@ def _emit(kind: int, route: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.nd
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), *map(as_long, (route, key, a, b, np.zeros(size, np.int64) if n is None else n))], schema=_SIGN_ARROW)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of moderate size: each is held whole on the other side."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def _sign(k: int, num: int, den: int, lower: bool):
     """Rows of three kinds: one for each document (set size and hash), signatures, and pairs that share a
     signature within the task. A task sends one signature row for each key at most."""
@@ -122,11 +128,11 @@ def _sign(k: int, num: int, den: int, lower: bool):
         a, key = a[order], key[order]
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
-        yield _emit(_SIGNATURE, key[lead], key[lead], a[lead], a[lead])
+        yield from _slices(_emit(_SIGNATURE, key[lead], key[lead], a[lead], a[lead]))
         pivot = a[np.flatnonzero(lead)][np.cumsum(lead) - 1]
         rest = ~lead & (pivot != a)
         if rest.any():
-            yield _emit(_PAIR, K.mix(key[rest] ^ a[rest].astype(U), 9), key[rest], pivot[rest], a[rest])
+            yield from _slices(_emit(_PAIR, K.mix(key[rest] ^ a[rest].astype(U), 9), key[rest], pivot[rest], a[rest]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
