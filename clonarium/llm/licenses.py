@@ -61,10 +61,9 @@ def _places(phrase: str) -> str:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document, in one pass without a shuffle: word count, places of the base phrases, licence words with
-    their places (only if one of them stands there that few templates have), and the key phrases that it holds."""
+    """Per document, in one pass without a shuffle: word count, places of the base phrases, key phrases that it holds, and, where it
+    holds any, the templates' words with their places."""
     vocabulary = _vocabulary()
-    # A template that other documents resemble by its common words alone is not looked up: see ``scan``.
     keys = sorted({k for _, _, ks in TEMPLATES for k in ks})
     # lower() also maps letters outside ASCII; none of them becomes or stops being a word of the templates or a separator.
     d = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
@@ -75,6 +74,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = d.withColumn("held", F.expr(f"array_intersect(w, {_quoted(vocabulary)})"))
     d = d.withColumn("lic", F.expr(f"case when size(keys) > 0 then filter(transform(sequence(0, n - 1), i -> case when array_contains(held, w[i]) then struct(w[i] as w, i as i) end), x -> x is not null) end"))
     return d.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.size("base").cast("long").alias("n_base"),
@@ -115,25 +115,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = {r["w"]: r["c"] for r in seen.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("c")).collect()}
     weight = {w: math.log((1 + total) / (1 + known.get(w, 0))) + 1e-3 for w in _vocabulary()}
 
-    # Places of each looked-up word against its postings, by template and offset: all within the row.
+    # Places of each looked-up word against its postings, one row for each (template, offset) that some word votes for.
     idf = _literal_map(weight, lambda v: f"{v!r}D")
     postings = _literal_map(_postings(), lambda v: "array(" + ", ".join(f"struct({t} as t, {i} as p)" for t, i in v) + ")")
-    d = seen.withColumn("idf", idf).withColumn("postings", postings)
-    d = d.withColumn("ranked", F.expr("case when lic is not null then sort_array(transform(array_distinct(transform(lic, x -> x.w)), x -> idf[x]), false) end"))
-    d = d.withColumn("least", F.expr(f"case when size(ranked) > 0 then ranked[least({RARE}, size(ranked)) - 1] end"))
-    hits = F.expr("flatten(transform(filter(lic, x -> idf[x.w] >= least), x -> transform(postings[x.w], y -> struct(y.t as t, x.i - y.p as o, y.p as p, x.w as w))))")
-    d = d.withColumn("hits", F.when(F.col("lic").isNotNull(), hits))
-    # Best offset of each template: weights of the agreeing words, summed by (template, offset).
-    d = d.withColumn("spots", F.expr("array_distinct(transform(hits, x -> struct(x.t as t, x.o as o)))"))
-    d = d.withColumn("tried", F.expr("transform(spots, s -> struct(s.t as t, size(filter(hits, x -> x.t = s.t and x.o = s.o)) as c, aggregate(filter(hits, x -> x.t = s.t and x.o = s.o), 0D, (a, x) -> a + idf[x.w]) as weight))"))
-    rows = []
-    for t, (label, text, keys) in enumerate(TEMPLATES):
-        need = min(AGREE, len(set(text.split())))
-        best = f"aggregate(filter(tried, x -> x.t = {t} and x.c >= {need}), 0D, (a, x) -> greatest(a, x.weight))"
-        could = "(" + " + ".join(f"case when idf['{w}'] >= least then idf['{w}'] else 0D end" for w in text.split()) + ")"
-        held = " and ".join(f"array_contains(keys, '{k}')" for k in keys)
-        rows.append(f"struct('{label}' as label, case when {held} and size(tried) > 0 then least(1D, {best} / greatest({could}, 1e-9D)) else 0D end as score)")
-    d = d.withColumn("verdict", F.expr("case when size(keys) > 0 then filter(array(" + ", ".join(rows) + "), x -> x.score > 0) else cast(array() as array<struct<label:string,score:double>>) end"))
+    d = seen.where("lic is not null").select("row", "lic").withColumn("idf", idf).withColumn("postings", postings)
+    d = d.withColumn("ranked", F.expr("sort_array(transform(array_distinct(transform(lic, x -> x.w)), x -> idf[x]), false)"))
+    d = d.withColumn("least", F.expr(f"ranked[least({RARE}, size(ranked)) - 1]"))
+    d = d.withColumn("hit", F.explode(F.expr("flatten(transform(filter(lic, x -> idf[x.w] >= least), x -> transform(postings[x.w], y -> struct(y.t as t, x.i - y.p as o, idf[x.w] as weight))))")))
+    votes = d.groupBy("row", "least", F.col("hit.t").alias("t"), F.col("hit.o").alias("o")).agg(F.count("*").alias("c"), F.sum("hit.weight").alias("weight"))
+    facts = [f"struct({t} as t, '{label}' as label, {min(AGREE, len(set(text.split())))} as need, {_quoted(list(keys))} as needed, array({', '.join(f'{weight[w]!r}D' for w in text.split())}) as weights)" for t, (label, text, keys) in enumerate(TEMPLATES)]
+    votes = votes.withColumn("f", F.expr("array(" + ", ".join(facts) + ")[t]")).where("c >= f.need")
+    could = F.expr("aggregate(filter(f.weights, x -> x >= least), 0D, (a, x) -> a + x)")
+    votes = votes.withColumn("score", F.least(F.lit(1.0), F.col("weight") / F.greatest(could, F.lit(1e-9))))
+    best = votes.groupBy("row", "t").agg(F.max("score").alias("score"), F.first("f.label").alias("label"), F.first("f.needed").alias("needed"))
+    # A template counts only where all of its mandatory phrases stand.
+    held = best.join(seen.where("lic is not null").select("row", "keys"), "row").where("size(array_except(needed, keys)) = 0")
+    verdict = held.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    d = seen.join(verdict, "row", "left")
     return d.select(
         F.col("doc_id").alias(id_col),
         "n_words",
@@ -141,6 +139,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "first_word",
         "last_word",
         F.array_join("base_found", ",").alias("base_labels"),
-        F.expr("array_join(array_sort(array_distinct(concat(base_found, transform(verdict, x -> x.label)))), ',')").alias("labels"),
-        F.expr("coalesce(array_max(transform(verdict, x -> x.score)), 0D)").alias("score"),
+        F.expr("array_join(array_sort(array_union(base_found, coalesce(found, array()))), ',')").alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
     )
