@@ -135,11 +135,12 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, size: Column
     shares = stash(shares, "shares")
 
     order = Window.partitionBy("length", "part").orderBy(F.xxhash64("id"), F.col("id").isNull(), "id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(counts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(counts.select("length", "part", "before").hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     # Shares of a length are consecutive runs of ranks. Each piece finds its run by the run's number, which an array of run starts gives.
     runs = shares.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "each", "first", "capacity", "at"))).alias("runs"))
     runs = runs.withColumn("starts", F.transform("runs", lambda r: r["lo"]))
-    met = ranked.join(runs, "length").withColumn("run", F.expr("runs[size(filter(starts, s -> s <= rank)) - 1]")).drop("runs", "starts")
+    # Runs are many for a large table: no broadcast.
+    met = ranked.join(runs.hint("merge"), "length").withColumn("run", F.expr("runs[size(filter(starts, s -> s <= rank)) - 1]")).drop("runs", "starts")
     out = met.withColumn("nth", F.expr("rank - run.lo"))
     result = out.select(
         F.col("id").alias(id_col),
