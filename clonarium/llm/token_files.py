@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonarium.llm import _kernels as K
-from clonarium.plans.store import new_folder, partitions, ship
+from clonarium.plans.store import new_folder, partitions, ship, small_batches
 
 MAGIC = b"PFR1"
 BLOCK = 4096
@@ -237,7 +237,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id")
     sections = rows.mapInArrow(_write(tokenizer_path, end), "section binary")
     # The text writer puts the bytes of a string into the file as they are.
-    sections.select(F.col("section").cast("string")).write.option("lineSep", "\n").text(path)
+    with small_batches(docs.sparkSession):
+        sections.select(F.col("section").cast("string")).write.option("lineSep", "\n").text(path)
 
 
 def _read(want_ids: bool):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonarium.plans.store import new_folder, ship
+from clonarium.plans.store import new_folder, ship, small_batches
 
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
@@ -95,7 +95,8 @@ def write_warc(pages: DataFrame, path: str, compress: bool = True, id_col: str =
     """
     ship(pages.sparkSession)
     records = plan_revisits(pages, id_col, url_col, payload_col).mapInArrow(_records(compress), "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\0" if compress else "\r\n").text(path)
+    with small_batches(pages.sparkSession, 200):
+        records.select(F.col("record").cast("string")).write.option("lineSep", "\0" if compress else "\r\n").text(path)
 
 
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
