@@ -29,6 +29,8 @@ FOLD = 16
 #: Signatures that a task holds before it sorts and emits them.
 HELD = 750_000
 
+#: Parts up to which a sketch's empty parts take part in the join.
+SMALL = 32
 #: Pairs of different components that a bucket has for each of its rows, on average, before they are compared one by one.
 CROSS = 4
 
@@ -85,9 +87,11 @@ def _signatures(row: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: in
         seed = K.mix(band[owner].astype(U) * U(1 << 40) + part.astype(U), 3)
         out_row.append(owner[filled])
         out_key.append(K.mix(print_[filled] ^ seed[filled], 4))
-        # Two sets that agree only in parts without any shingle differ in just one shingle in each other part. A second,
-        # independent dealing of the shingles has a part in which they agree as well: empty parts get one key for each of its parts.
-        hollow = np.flatnonzero(~filled)
+        # A part without any shingle is no evidence. Sets that agree in such parts only agree somewhere in a second, independent
+        # dealing of the shingles as well: in small sketches, an empty part gets one key for each part of that dealing.
+        # Larger sketches need none: similar sets leave more than a third of the parts untouched, and with more than SMALL parts the
+        # chance that all of those are empty is below 1e-15, less than that of a hash collision.
+        hollow = np.flatnonzero(~filled & (width[owner] <= SMALL))
         if len(hollow):
             who = np.unique(owner[hollow])
             some = np.zeros(len(n), bool)
