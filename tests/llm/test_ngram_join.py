@@ -52,26 +52,28 @@ def test_empty_table(spark):
     assert similar_sets(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_signatures_share_a_part_up_to_the_bound():
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
+def test_signatures_share_a_part_up_to_the_bound(num, den):
     rng = np.random.default_rng(1)
-    for size in (1, 2, 5, 9, 12, 40, 300):
-        for _ in range(30):
+    for size in (1, 2, 5, 9, 12, 40, 90, 150, 300):
+        for _ in range(60):
             a = rng.integers(0, 2**63, size, dtype=np.uint64)
-            least = next(m for m in range(size + 1) if 10 * m >= 9 * size)
+            least = next(m for m in range(size + 1) if den * m >= num * size)
             b = a[: rng.integers(least, size + 1)]
             keys = defaultdict(set)
             h = [np.sort(a), np.sort(b)]
-            row, key = _signatures(np.repeat([0, 1], [len(h[0]), len(h[1])]), np.concatenate(h), np.array([len(h[0]), len(h[1])]), 9, 10)
+            row, key = _signatures(np.repeat([0, 1], [len(h[0]), len(h[1])]), np.concatenate(h), np.array([len(h[0]), len(h[1])]), num, den)
             for r, x in zip(row.tolist(), key.tolist(), strict=True):
                 keys[r].add(x)
             assert not len(b) or keys[0] & keys[1]
 
 
-def test_parts_exceed_the_largest_difference():
-    first, parts = bands(9, 10)
-    for u in (1, 9, 10, 57, 1000):
-        own = parts[np.searchsorted(first, u, "right") - 1]
-        assert own > max(u + m - 2 * i for m in (int(0.9 * u), u) for i in range(m + 1) if 10 * i >= 9 * (u + m - i) or i == m) - 1 or own >= 1
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_parts_exceed_the_largest_difference(num, den):
+    first, parts = bands(num, den)
+    for u in (1, 9, 10, 57, 200):
+        worst = max(u + m - 2 * i for m in range(1, u + 1) for i in range(m + 1) if den * i >= num * (u + m - i))
+        assert parts[np.searchsorted(first, u, "right") - 1] > worst
 
 
 def test_keep_one_keeps_columns_and_one_of_each_group(spark):
