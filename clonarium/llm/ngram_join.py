@@ -43,10 +43,13 @@ _STORE_SCHEMA = "id long, n long, " + ", ".join(f"s{i} long" for i in range(FOLD
 @lru_cache
 def bands(num: int, den: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """First size of each band, and the parts that a sketch has in it: one more than the largest
-    symmetric difference of two sets up to the band's last size with a Jaccard similarity of num/den."""
+    symmetric difference of two sets up to the band's last size with a Jaccard similarity of num/den.
+
+    Bands grow by den/num at least, so that similar sets lie in one band or in two neighbouring ones.
+    """
     first = [1]
     while first[-1] < top:
-        first.append(max(first[-1] + 1, first[-1] * 8 // 5))
+        first.append(max(first[-1] + 1, first[-1] * 8 // 5, -(-first[-1] * den // num)))
     parts = [2 * (hi - 1) * (den - num) // (den + num) + 1 for hi in first[1:]]
     return np.array(first[:-1]), np.array(parts)
 
