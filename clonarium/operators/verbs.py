@@ -82,14 +82,14 @@ def index(df: DataFrame, field: str = "INDEX", order: str | list[str] = ROW) ->
     """A running number from 1 in the order of ``order``, without bringing all rows into one task: a range sort, counts
     by partition, and numbers within each."""
     names = [order] if isinstance(order, str) else order
-    parts = df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_part", F.spark_partition_id())
+    parts = df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__part", F.spark_partition_id())
     # Range bounds are sampled anew each time a plan runs; written down, counts and numbers see the same partitions.
     kept = stash(parts, "index")
-    counts = kept.groupBy("_part").count()
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    counts = counts.select("_part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
-    return kept.withColumn("_nth", nth).join(counts, "_part").withColumn(field, F.col("_ahead") + F.col("_nth")).drop("_part", "_nth", "_ahead")
+    counts = kept.groupBy("__part").count()
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    counts = counts.select("__part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*names))
+    return kept.withColumn("__nth", nth).join(counts, "__part").withColumn(field, F.col("__ahead") + F.col("__nth")).drop("__part", "__nth", "__ahead")
 
 
 def merge(frames: list[DataFrame], drop: bool = False) -> DataFrame:

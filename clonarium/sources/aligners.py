@@ -481,6 +481,7 @@ def finish(
         extra = cells.select(F.col("contig_id").alias("_contig"), *[c for c in cells.columns if c not in out.columns and c != "contig_id"])
         out = out.join(extra, F.col("sequence_id") == F.col("_contig"), "left")
         if strict_cells:
-            out = out.withColumn("_contig", F.coalesce("_contig", F.raise_error(F.concat(F.lit("no annotations for "), F.col("sequence_id"))).cast("string")))
+            missing = F.raise_error(F.concat(F.lit("no annotations for "), F.col("sequence_id"))).cast("string")
+            out = out.withColumn("sequence_id", F.when(F.col("_contig").isNull(), missing).otherwise(F.col("sequence_id")))
         out = out.drop("_contig")
     return out.withColumn("passed", passes(out, check))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from clonarium.operators.clones import call_groups
 from clonarium.plans.store import ship
@@ -97,10 +98,7 @@ def align_records(df: DataFrame, fields: list[str], align: Callable[[list[str]],
     if how not in ("across", "block", "within"):
         raise ValueError("how is across, block or within")
     grouped = df if how == "within" else call_groups(df, calls, mode, group_fields)
-    schema = grouped.schema
-    for f in fields:
-        schema = schema.add(f"{f}_align", "string")
-    schema = schema.add("passed", "boolean")
+    schema = StructType([*grouped.schema.fields, *(StructField(f"{f}_align", StringType()) for f in fields), StructField("passed", BooleanType())])
 
     def aligned(table: pd.DataFrame) -> pd.DataFrame:
         out = table.copy()
