@@ -392,7 +392,7 @@ def types_parse(spark, sf_dir):
 
 @query(_rep("SELECT sequence_id AS \"SEQUENCE_ID\", v_call AS \"V_CALL\", junction AS \"JUNCTION\", productive AS \"FUNCTIONAL\" FROM rep"))
 def convert_legacy(spark, sf_dir):
-    return R.convert(repertoire(spark, sf_dir).select("sequence_id", "v_call", "junction", "productive"), "airr", "changeo")
+    return R.convert(repertoire(spark, sf_dir).select("sequence_id", "v_call", "junction", "productive"), "airr", "legacy")
 
 
 # Export and trees.

@@ -13,9 +13,9 @@ from clonarium.functions import records as R
 from clonarium.operators import clones, germlines, lineage, verbs
 from clonarium.session import session
 from clonarium.sources import aligners, export, external
-from clonarium.sources.tsv import EXTENSIONS, ROW, output_name, read_tsv, write_tsv
+from clonarium.sources.tsv import EXTENSIONS, ROW, output_name, read_tsv, summary, write_tsv
 
-FORMATS = ("airr", "changeo", "airr-aa", "changeo-aa")
+FORMATS = ("airr", "legacy", "airr-aa", "legacy-aa")
 
 
 def _common(p: argparse.ArgumentParser, db: bool = True) -> argparse.ArgumentParser:
@@ -105,7 +105,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--imgt-id-len", type=int, default=49)
 
     convert = tools.add_parser("convert", help="other formats").add_subparsers(dest="target", required=True)
-    for target in ("airr", "changeo", "fasta", "baseline", "genbank"):
+    for target in ("airr", "legacy", "fasta", "baseline", "genbank"):
         p = _common(convert.add_parser(target))
         if target in ("fasta", "baseline"):
             p.add_argument("--if", dest="ident", default="sequence_id")
@@ -178,6 +178,8 @@ def _store(a: argparse.Namespace, df: DataFrame, path: str, passed: str | None =
     if passed and a.failed:
         stem, ext = os.path.splitext(path)
         write_tsv(df.where(~F.coalesce(F.col(passed), F.lit(False))).drop(*drop), f"{stem.removesuffix('-pass')}-fail{ext}", fields, single=True)
+    if passed:
+        print("".join(f"{k.upper():>10}> {v}\n" for k, v in summary(df, F.col(passed)).items()), end="")
     if passed and reason and a.log:
         df.where(~F.coalesce(F.col(passed), F.lit(False))).select("sequence_id", reason).coalesce(1).write.mode("append").csv(a.log, sep="\t")
 
@@ -267,8 +269,8 @@ def _make(spark: SparkSession, a: argparse.Namespace) -> None:
 def _convert(spark: SparkSession, a: argparse.Namespace) -> None:
     for i, file in enumerate(a.files):
         df = read_tsv(spark, file)
-        if a.target in ("airr", "changeo"):
-            source = "changeo" if a.target == "airr" else "airr"
+        if a.target in ("airr", "legacy"):
+            source = "legacy" if a.target == "airr" else "airr"
             write_tsv(R.convert(df, source, a.target), output_name(file, a.target, R.EXTENSION[a.target], a.outdir, a.outname), single=True)
         elif a.target == "fasta":
             export.write_fasta(df.orderBy(ROW), _target(a, i, "sequences"), ident=a.ident, seq=a.sf, fields=a.mf)

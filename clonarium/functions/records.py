@@ -39,17 +39,17 @@ REQUIRED = {
         "stop_codon locus v_call d_call j_call c_call junction junction_length junction_aa v_sequence_aa_start v_sequence_aa_end "
         "v_germline_aa_start v_germline_aa_end"
     ).split(),
-    "changeo": (
+    "legacy": (
         "SEQUENCE_ID SEQUENCE_INPUT FUNCTIONAL IN_FRAME STOP MUTATED_INVARIANT INDELS LOCUS V_CALL D_CALL J_CALL SEQUENCE_VDJ SEQUENCE_IMGT "
         "V_SEQ_START V_SEQ_LENGTH V_GERM_START_VDJ V_GERM_LENGTH_VDJ V_GERM_START_IMGT V_GERM_LENGTH_IMGT NP1_LENGTH D_SEQ_START D_SEQ_LENGTH "
         "D_GERM_START D_GERM_LENGTH NP2_LENGTH J_SEQ_START J_SEQ_LENGTH J_GERM_START J_GERM_LENGTH JUNCTION JUNCTION_LENGTH GERMLINE_IMGT"
     ).split(),
-    "changeo-aa": (
+    "legacy-aa": (
         "SEQUENCE_ID SEQUENCE_AA_INPUT STOP INDELS LOCUS V_CALL SEQUENCE_AA_VDJ SEQUENCE_AA_IMGT V_SEQ_AA_START V_SEQ_AA_LENGTH "
         "V_GERM_AA_START_VDJ V_GERM_AA_LENGTH_VDJ V_GERM_AA_START_IMGT V_GERM_AA_LENGTH_IMGT GERMLINE_AA_IMGT"
     ).split(),
 }
-EXTENSION = {"airr": "tsv", "airr-aa": "tsv", "changeo": "tab", "changeo-aa": "tab"}
+EXTENSION = {"airr": "tsv", "airr-aa": "tsv", "legacy": "tab", "legacy-aa": "tab"}
 
 
 def _exchange_rules() -> dict[str, str]:
@@ -72,11 +72,11 @@ _FROM_ATTRIBUTE = {v: k for k, v in _EXCHANGE.items()}
 
 def to_attribute(name: str, fmt: str) -> str:
     """Attribute of a column; names without a rule are lower-cased (legacy) or kept (exchange)."""
-    return name.lower() if fmt.startswith("changeo") else _EXCHANGE.get(name.lower(), name.lower())
+    return name.lower() if fmt.startswith("legacy") else _EXCHANGE.get(name.lower(), name.lower())
 
 
 def from_attribute(name: str, fmt: str) -> str:
-    return name.upper() if fmt.startswith("changeo") else _FROM_ATTRIBUTE.get(name, name)
+    return name.upper() if fmt.startswith("legacy") else _FROM_ATTRIBUTE.get(name, name)
 
 
 def coordinates() -> list[tuple[str, str, str]]:
@@ -196,7 +196,7 @@ def convert_names(columns: list[str], source: str, target: str) -> list[str]:
         if target.startswith("airr") and a in by_length and by_length[a] not in attributes:
             out.append(by_length[a])
         out.append(a)
-        if target.startswith("changeo") and a in by_end and by_end[a] not in attributes:
+        if target.startswith("legacy") and a in by_end and by_end[a] not in attributes:
             out.append(by_end[a])
     return [from_attribute(a, target) for a in dict.fromkeys(out)]
 
@@ -208,7 +208,7 @@ def convert(df: DataFrame, source: str, target: str) -> DataFrame:
 
 def lookup(df: DataFrame, name: str, fmt: str = "airr") -> Column:
     """A column of a typed table by any of its names, in any case; unknown names give null."""
-    for candidate in (name, to_attribute(name, fmt), to_attribute(name, "changeo"), name.lower()):
+    for candidate in (name, to_attribute(name, fmt), to_attribute(name, "legacy"), name.lower()):
         if candidate in df.columns:
             return F.col(candidate)
     return F.lit(None).cast("string")

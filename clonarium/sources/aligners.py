@@ -441,6 +441,20 @@ def read_semicolon(spark: SparkSession, path: str, sequences: DataFrame, referen
     return d.drop(*[c for c in SEMICOLON if c != "sequence_id"], "query", "_input", "_gap", "_junction", "_v_ref", "_j_ref")
 
 
+def renumber(df: DataFrame, references: DataFrame) -> DataFrame:
+    """Typed records whose alignments lack the numbering's gaps, with gaps put in by the V reference, places in the numbering, and a new germline.
+
+    Records whose V allele the references lack keep null in these columns.
+    """
+    from clonarium.operators.germlines import attach_germlines
+
+    d = _with_reference(df, references, G.v_allele("v_call"), "_v_ref")
+    d = d.withColumn("_gap", S.gap_v("sequence_imgt", F.col("v_germ_start_imgt"), F.col("v_germ_length_imgt"), "_v_ref"))
+    d = d.withColumns({"sequence_imgt": F.col("_gap.sequence"), "v_germ_start_imgt": F.col("_gap.start"), "v_germ_length_imgt": F.col("_gap.length")}).drop("_v_ref", "_gap")
+    d = attach_germlines(d, references).withColumn("germline_imgt", F.col("germline_full"))
+    return d.drop("germline_full", "germline_dmask", "germline_vonly", "germline_regions", "germline_error")
+
+
 # Validation and assembly of a parsed report.
 
 

@@ -73,3 +73,9 @@ def count_rows(df: DataFrame) -> int:
     if not n:
         raise ValueError("the table is empty")
     return n
+
+
+def summary(df: DataFrame, passed: Column) -> dict[str, int]:
+    """Numbers of records, of those that pass and of those that fail, in one job."""
+    row = df.agg(F.count("*").alias("records"), F.count_if(F.coalesce(passed, F.lit(False))).alias("passed")).first()
+    return {"records": row["records"], "pass": row["passed"], "fail": row["records"] - row["passed"]}

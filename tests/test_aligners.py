@@ -117,7 +117,7 @@ def test_four_tables(spark, tmp_path):
         out = {r.sequence_id: r for r in A.read_tables(spark, A.unpack_tables(str(source), str(tmp_path / "out"))).collect()}
         r = out["s1"]
         assert (r.functional, r.in_frame, r.stop, r.rev_comp, r.indels) == (True, True, False, False, False)
-        assert r.v_call == "Homsap IGHV1-1*01 F,Homsap IGHV1-1*02 F" and r.locus == "IGH"
+        assert r.v_call.strip() == "Homsap IGHV1-1*01 F,Homsap IGHV1-1*02 F" and r.locus == "IGH"
         assert (r.v_seq_start, r.v_seq_length, r.v_germ_length_imgt, r.np1_length, r.d_seq_start, r.d_seq_length, r.d_germ_start, r.np2_length, r.j_seq_start, r.j_germ_start) == (4, 6, 9, 4, 14, 5, 3, 4, 23, 5)
         assert (r.n1_length, r.n2_length, r.d_frame, r.v_identity, r.j_identity, r.junction, r.sequence_imgt) == (2, 3, 2, 0.985, None, "TGTGCG", "CAG...GTGCC")
         assert out["s2"].functional is None and out["s2"].v_call is None
@@ -156,3 +156,9 @@ def test_sequence_files(spark, tmp_path):
     assert {tuple(r) for r in A.read_cell_ranger(spark, str(tmp_path / "cells.csv")).collect()} == {("x", ""), ("y", "IGHM")}
     ids = A.short_ids(spark.createDataFrame([("a b/c" + "z" * 60,)], "description string"))
     assert ids.first().short == "a_b/c" + "z" * 44
+
+
+def test_renumber(spark, refs):
+    df = spark.createDataFrame([("s", V + J, "IGHV1-1*01", "IGHJ1*01", 1, 18, 1, 29)], "sequence_id string, sequence_imgt string, v_call string, j_call string, v_germ_start_imgt int, v_germ_length_imgt int, j_germ_start int, j_germ_length int")
+    r = A.renumber(df, refs).first()
+    assert r.sequence_imgt == V[:9] + "..." + V[9:] + J and r.v_germ_length_imgt == 21 and r.germline_imgt == r.sequence_imgt

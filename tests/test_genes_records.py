@@ -44,20 +44,20 @@ def test_types(spark):
 def test_names_go_both_ways():
     for name in R.REQUIRED["airr"] + R.REQUIRED["airr-aa"]:
         assert R.from_attribute(R.to_attribute(name, "airr"), "airr") == name
-    for name in R.REQUIRED["changeo"] + R.REQUIRED["changeo-aa"]:
-        assert R.from_attribute(R.to_attribute(name, "changeo"), "changeo") == name
+    for name in R.REQUIRED["legacy"] + R.REQUIRED["legacy-aa"]:
+        assert R.from_attribute(R.to_attribute(name, "legacy"), "legacy") == name
     assert R.to_attribute("productive", "airr") == "functional" and R.to_attribute("v_germline_start", "airr") == "v_germ_start_imgt"
-    assert R.to_attribute("PRCONS", "changeo") == "prcons" and R.to_attribute("Own_Field", "airr") == "own_field"
+    assert R.to_attribute("PRCONS", "legacy") == "prcons" and R.to_attribute("Own_Field", "airr") == "own_field"
     assert R.kind("v_seq_length") == "integer" and R.kind("fwr1_aa_imgt") == "aminoacid" and R.kind("prcons") == "identity"
 
 
 def test_conversion_makes_ends_and_lengths(spark):
     legacy = spark.createDataFrame([("s1", "T", "5", "20", "acgt", "own")], "SEQUENCE_ID string, FUNCTIONAL string, V_SEQ_START string, V_SEQ_LENGTH string, JUNCTION string, PRCONS string")
-    there = R.convert(legacy, "changeo", "airr")
+    there = R.convert(legacy, "legacy", "airr")
     row = there.first()
     assert there.columns == ["sequence_id", "productive", "v_sequence_start", "v_sequence_end", "v_sequence_length", "junction", "prcons"]
     assert (row.productive, row.v_sequence_end, row.junction, row.prcons) == ("T", "24", "ACGT", "own")
-    back = R.convert(there, "airr", "changeo").first()
+    back = R.convert(there, "airr", "legacy").first()
     assert (back.V_SEQ_START, back.V_SEQ_LENGTH, back.SEQUENCE_ID) == ("5", "20", "s1")
 
 
