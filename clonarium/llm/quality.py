@@ -22,7 +22,7 @@ RULES = (
     ("symbols", "100 * n_symbols <= word_chars", "100 * n_symbols > 5 * word_chars"),
     ("repeat_lines", "false", "100 * n_dup_lines > 30 * n_lines"),
     ("repeat_words", "n_words >= 50 and n_repeat_words = 0", "100 * n_repeat_words > 20 * n_words"),
-    ("alphabetic", "100 * n_letters >= 90 * word_chars", "100 * n_letters < 80 * word_chars"),
+    ("alphabetic", "100 * n_letters >= 90 * word_chars", "n_words >= 50 and 100 * n_letters < 80 * word_chars"),
     ("shouting", "false", "n_words >= 20 and 100 * n_upper > 50 * n_letters"),
     ("distinct", "n_words >= 50 and n_distinct >= 4 * pow(n_words, 0.6)", "n_words >= 50 and n_distinct < 2.5 * pow(n_words, 0.6)"),
 )
