@@ -294,7 +294,8 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     same = stands.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     tested, links = [first], [stash(verified(first), "links")]
     group = components(links[0])
-    members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct().join(store.drop("ztext"), "id"), "members")
+    members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct(), "members")
+    sketches = store.drop("ztext").distinct()
     close = lambda a, b: f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num} and (" + " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(FOLD)) + f") * {den + num} <= ({a}.n + {b}.n) * {den - num}"
     last = None
     while True:
@@ -308,9 +309,11 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
         if not held or cross <= CROSS * held or (last is not None and cross > 0.9 * last):
             break
         last = cross
-        pivot = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp", "n", *(f"s{i}" for i in range(FOLD))), F.xxhash64("id", F.lit(len(tested)))).alias("p")).select("key", "p.*")
-        met = rows.alias("here").join(pivot.alias("there"), F.expr(f"here.key = there.key and here.comp <> there.comp and {close('here', 'there')}"))
-        pairs = met.select(F.least("here.id", "there.id").alias("u"), F.greatest("here.id", "there.id").alias("v")).distinct()
+        pivot = rows.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(len(tested)))).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.comp").alias("pcomp"))
+        # The same two documents meet in many buckets: their sketches are fetched once.
+        met = rows.join(pivot, "key").where("comp <> pcomp").select(F.least("id", "pid").alias("u"), F.greatest("id", "pid").alias("v")).distinct()
+        near = met.alias("m").join(sketches.alias("here"), F.expr("m.u = here.id")).join(sketches.alias("there"), F.expr(f"m.v = there.id and {close('here', 'there')}"))
+        pairs = near.select("m.u", "m.v").distinct()
         for done in tested:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = stash(pairs, "tested")
@@ -319,7 +322,8 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
         drop_stash(rows)
         before, group = group, components(group.unionAll(links[-1]))
         drop_stash(before)
-    near = rows.alias("here").join(rows.alias("there"), F.expr(f"here.key = there.key and here.id < there.id and here.comp <> there.comp and {close('here', 'there')}"))
+    left_over = rows.join(sketches, "id")
+    near = left_over.alias("here").join(left_over.alias("there"), F.expr(f"here.key = there.key and here.id < there.id and here.comp <> there.comp and {close('here', 'there')}"))
     later = near.select(F.col("here.id").alias("u"), F.col("there.id").alias("v")).distinct()
     for done in tested:
         later = later.join(done, ["u", "v"], "left_anti")
