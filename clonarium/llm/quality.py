@@ -44,13 +44,13 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of every whole text, in one projection pipeline without a shuffle.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+    """Counts of every whole text, in one projection pipeline without a shuffle; ``carried`` columns go along.
 
     Two windows of five words are compared by hash first; a text whose window hashes are all different has no
     repeat. Only otherwise are its windows sorted as text, so the count is exact.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    d = docs.select(*carried, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     d = d.withColumn("w", _words(F.col("t"))).withColumn("n", F.size("w"))
     d = d.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
     # ANSI arithmetic raises on overflow, so hashes are chained by xxhash64 instead of being added up.
@@ -68,6 +68,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     long = lambda c: c.cast("long")
     joined = F.array_join("w", "")
     return d.select(
+        *carried,
         "doc_id",
         long(F.col("n")).alias("n_words"),
         long(F.length(joined)).alias("word_chars"),
@@ -137,10 +138,13 @@ def assess(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with their columns as they are."""
-    seen = stash(votes(statistics(docs, id_col, text_col)), "votes")
+    """The rows of ``docs`` that ``assess`` keeps, with their columns as they are.
+
+    The texts are read twice, once for the counts of vote patterns and once for the verdict on each row; neither pass shuffles a text.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    seen = votes(statistics(packed.withColumns({"id": F.col(f"doc.{id_col}"), "text": F.col(f"doc.{text_col}")}), "id", "text", "doc"))
     counts = {r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()}
     posterior, _, _ = fit(counts) if counts else ({}, [], 0.0)
     good = [p for p, q in posterior.items() if q >= threshold]
-    bad = seen.where(F.col("base_failed") | ~F.col("pattern").isin(good)).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    return seen.where(~F.col("base_failed") & F.col("pattern").isin(good)).select("doc.*")
