@@ -140,10 +140,11 @@ def assess(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with their columns as they are.
 
-    The texts are read twice, once for the counts of vote patterns and once for the verdict on each row; neither pass shuffles a text.
+    Rows are written once to the shared folder with their votes; no text is shuffled.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    seen = votes(statistics(packed.withColumns({"id": F.col(f"doc.{id_col}"), "text": F.col(f"doc.{text_col}")}), "id", "text", "doc"))
+    named = packed.select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    seen = stash(votes(statistics(named, "id", "text", "doc")), "votes")
     counts = {r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()}
     posterior, _, _ = fit(counts) if counts else ({}, [], 0.0)
     good = [p for p, q in posterior.items() if q >= threshold]
