@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonarium.llm import _kernels as K
-from clonarium.plans.store import drop_stash, partitions, ship, stash
+from clonarium.plans.store import drop_stash, partitions, release, ship, stash
 from clonarium.plans.components import components
 
 U = np.uint64
@@ -269,6 +269,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
 
     signed = known.mapInArrow(_sign(k, num, den, lower), _SIGN_SCHEMA)
     paired = stash(signed.repartition(parts, "route").sortWithinPartitions("kind", "key", "a").mapInArrow(_pair_up, _SIGN_SCHEMA), "pairs")
+    release(spark)
 
     meta = paired.where(F.col("kind") == _META).select(F.col("a").alias("id"), "n", F.col("key").alias("h1"), F.col("b").alias("h2"))
     classes = meta.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
@@ -284,6 +285,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     first = shared.where(sizes).select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
     ids = shared.select(F.col("ra").alias("id")).unionAll(shared.select(F.col("rb").alias("id"))).distinct()
     store = stash(known.join(ids, "id").mapInArrow(_keep_text(k, lower), _STORE_SCHEMA), "store")
+    release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = store.select(F.col("id").alias("u"), F.col("ztext").alias("x")).distinct()
@@ -293,6 +295,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
 
     same = stands.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     tested, links = [first], [stash(verified(first), "links")]
+    release(spark)
     group = components(links[0])
     members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct(), "members")
     sketches = store.drop("ztext").distinct()
@@ -320,6 +323,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
         tested.append(pairs)
         links.append(stash(verified(pairs), "links"))
         drop_stash(rows)
+        release(spark)
         before, group = group, components(group.unionAll(links[-1]))
         drop_stash(before)
     left_over = rows.join(sketches, "id")
