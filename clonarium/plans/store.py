@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    with small_batches(spark):
+    with small_batches(spark), cleaned_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
@@ -61,6 +62,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside remove their shuffle files when they end. What they write is read from the shared folder, never from the shuffle."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "true")
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drop_stash(*frames: DataFrame) -> None:
     for df in frames:
         if path := getattr(df, "_stash_path", None):
@@ -70,8 +83,10 @@ def drop_stash(*frames: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Have shuffle files of finished jobs removed now. Spark does so once the driver's JVM has collected the jobs' plans; in a long
     operator that may be late, and files of all its steps would lie side by side."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # proxies of the driver's Python go first, then what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def remove(spark: SparkSession, path: str) -> None:
