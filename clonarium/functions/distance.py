@@ -111,10 +111,22 @@ def pairwise(sequences: list[str], m: Model, norm: str | None = "len", sym: str
     codes = _encode(sequences, m)
     u, length = codes.shape
     out = np.zeros((u, u))
-    windows = None
-    if m.size > 1:
-        pad = "N" * ((m.size - 1) // 2)
-        windows = np.array([[m.windows[(pad + s + pad)[i : i + m.size]] for i in range(length)] for s in sequences])
+    if m.size == 1:
+        # A product of one row's distances to each letter by place with the other row's letters, for all pairs at once.
+        table = m.table if m.symmetric else np.minimum(m.table, m.table.T) if sym == "min" else (m.table + m.table.T) / 2
+        table = table * (1 - np.eye(len(table)))
+        letters = len(m.letters)
+        marks = np.zeros((u, length * letters))
+        marks[np.arange(u)[:, None], np.arange(length) * letters + codes] = 1.0
+        for lo in range(0, u, block):
+            total = table[codes[lo : lo + block]].reshape(-1, length * letters) @ marks.T
+            if norm == "mut":
+                unlike = length - marks[lo : lo + block] @ marks.T
+                total = np.divide(total, unlike, out=np.zeros_like(total), where=unlike > 0)
+            out[lo : lo + block] = total / max(length, 1) if norm == "len" else total
+        return out
+    pad = "N" * ((m.size - 1) // 2)
+    windows = np.array([[m.windows[(pad + s + pad)[i : i + m.size]] for i in range(length)] for s in sequences])
     for lo in range(0, u, block):
         own = codes[lo : lo + block]
         total = np.zeros((len(own), u))
@@ -123,14 +135,8 @@ def pairwise(sequences: list[str], m: Model, norm: str | None = "len", sym: str
             a, b = own[:, p], codes[:, p]
             differ = a[:, None] != b[None, :]
             unlike += differ
-            if windows is None:
-                d = m.table[a][:, b]
-                if not m.symmetric:
-                    back = m.table.T[a][:, b]
-                    d = np.minimum(d, back) if sym == "min" else (d + back) / 2
-            else:
-                one, two = m.table[a][:, windows[:, p]], m.table[b][:, windows[lo : lo + block, p]].T
-                d = np.minimum(one, two) if sym == "min" else (one + two) / 2
+            one, two = m.table[a][:, windows[:, p]], m.table[b][:, windows[lo : lo + block, p]].T
+            d = np.minimum(one, two) if sym == "min" else (one + two) / 2
             total += np.where(differ, d, 0.0)
         if norm == "len":
             total /= max(length, 1)
