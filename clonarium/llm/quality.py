@@ -27,8 +27,12 @@ RULES = (
     ("distinct", "n_words >= 50 and n_distinct >= 4 * pow(n_words, 0.6)", "n_words >= 50 and n_distinct < 2.5 * pow(n_words, 0.6)"),
 )
 GOOD, BAD, ABSTAIN = 1, 0, 2
+#: Rules that vote good on long texts only: that they abstain tells the length of a text, and is no evidence of its class.
+BY_LENGTH = frozenset(i for i, (_, good, _) in enumerate(RULES) if "n_words >=" in good)
 #: Expectation-maximisation stops when no probability moves more, or after so many rounds.
 TOLERANCE, ROUNDS = 1e-7, 200
+#: Vote counts are scaled to this sum, so that pseudo-counts weigh the same beside any number of documents.
+MASS = 10_000
 #: Pseudo-counts of the votes (bad, good, abstain) of a rule on good and on bad documents; they keep probabilities off 0
 #: and 1 and fix which class is "good".
 ON_GOOD, ON_BAD = (0.2, 12.0, 8.0), (8.0, 4.0, 8.0)
@@ -93,9 +97,12 @@ def fit(counts: dict[int, int], rules: int = len(RULES)) -> tuple[dict[int, floa
     """Posterior probability of good by vote pattern, the rules' vote probabilities on (good, bad) documents, the share of good ones.
 
     ``counts`` holds the number of documents of each vote pattern: 3 ** rules of them at most, however many documents.
-    Given the class, rules vote or abstain independently; how often each does what on either class is estimated by
-    expectation-maximisation.
+    Only the shares of patterns count, so a table and its multiples get the same verdicts. Given the class, rules vote or abstain
+    independently; how often each does what on either class is estimated by expectation-maximisation. Abstentions
+    of ``BY_LENGTH`` rules carry no evidence.
     """
+    part = MASS / max(sum(counts.values()), 1e-300)
+    counts = {p: c * part for p, c in counts.items()}
     digit = {p: [p // 3**i % 3 for i in range(rules)] for p in counts}
     scaled = lambda x: [v / sum(x) for v in x]
     model = [(scaled(ON_GOOD), scaled(ON_BAD)) for _ in range(rules)]
@@ -103,7 +110,7 @@ def fit(counts: dict[int, int], rules: int = len(RULES)) -> tuple[dict[int, floa
     posterior: dict[int, float] = {}
     for _ in range(ROUNDS):
         for p, v in digit.items():
-            odds = math.log(good) - math.log1p(-good) + sum(math.log(g[x]) - math.log(b[x]) for (g, b), x in zip(model, v, strict=True))
+            odds = math.log(good) - math.log1p(-good) + sum(math.log(g[x]) - math.log(b[x]) for i, ((g, b), x) in enumerate(zip(model, v, strict=True)) if x != ABSTAIN or i not in BY_LENGTH)
             posterior[p] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
         new = []
         for i in range(rules):

@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from clonarium.llm.quality import BAD, GOOD, RULES, assess, fit, keep_good
+from clonarium.llm.quality import ABSTAIN, BAD, GOOD, RULES, THRESHOLD, assess, fit, keep_good
 from tests.llm.fixtures import SCHEMA, corpus, words
 
 
@@ -53,3 +53,16 @@ def test_fit_separates_two_kinds():
     posterior, model, share = fit({good: 900, bad: 100})
     assert posterior[good] > 0.99 and posterior[bad] < 0.01 and 0.85 < share < 0.95
     assert all(abs(sum(p) - 1) < 1e-9 for pair in model for p in pair)
+
+
+def test_verdicts_do_not_depend_on_the_number_of_rows():
+    def pattern(**votes):
+        return sum(votes.get(name, ABSTAIN) * 3**i for i, (name, *_) in enumerate(RULES))
+
+    long = pattern(symbols=GOOD, repeat_words=GOOD, alphabetic=GOOD, distinct=GOOD)
+    short = pattern(symbols=GOOD, alphabetic=GOOD)
+    noisy = pattern(symbols=BAD, repeat_words=GOOD, alphabetic=BAD, distinct=GOOD)
+    for counts in ({long: 9000, short: 1000}, {long: 8600, short: 1000, noisy: 400}):
+        for times in (1, 100, 10_000):
+            posterior, *_ = fit({p: c * times for p, c in counts.items()})
+            assert {p for p, q in posterior.items() if q >= THRESHOLD} == {long, short}, times
