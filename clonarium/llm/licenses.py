@@ -1,8 +1,7 @@
-"""Licence scan by a positional index of rare words, in DataFrame functions only.
+"""Licence scan by a positional index of words weighed by rarity, in DataFrame functions only.
 
-Templates are sentences of well-known licences. Each file is looked up by its licence words of highest inverse
-document frequency; the places of these words, less their places in a template, must agree on one offset; then the
-template's mandatory key phrases must stand in the file.
+Templates are sentences of well-known licences. Each template whose mandatory key phrases stand in a file is looked up by all of
+its words; the places of these words in the file, less their places in the template, must agree on one offset.
 """
 
 from __future__ import annotations
@@ -37,8 +36,6 @@ TEMPLATES = (
     ("cc0", "creative commons zero cc0 1 0 universal public domain dedication", ("cc0",)),
     ("reserved", "copyright all rights reserved no part may be reproduced without permission", ("all rights reserved",)),
 )
-#: A file is looked up by so many of its licence words, of the highest inverse document frequency; ties are all taken.
-RARE = 8
 #: Looked-up words that must agree on an offset: as many as this, or all that the template has, if fewer.
 AGREE = 3
 
@@ -104,7 +101,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     * n_base counts all places of the base phrases; first_word and last_word are the smallest and largest start, else null.
     * labels: the base labels and those of the templates found; both lists are distinct, sorted and comma-joined ('' if none).
-    * score: of the best template found, the share of its looked-up words' weight (inverse document frequency) that stands at the
+    * score: of the best template found, the share of its words' weight (inverse document frequency) that stands at the
       agreeing offset; 1.0 at most, 0.0 if no template is found.
     * Null text counts as empty. Null ids, repeated rows and ties are scanned row by row. An empty table gives an empty result.
 
@@ -115,22 +112,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = {r["w"]: r["c"] for r in seen.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("c")).collect()}
     weight = {w: math.log((1 + total) / (1 + known.get(w, 0))) + 1e-3 for w in _vocabulary()}
 
-    # Places of each looked-up word against its postings, one row for each (template, offset) that some word votes for.
+    # Places of each word against its postings in the templates that could stand, one row for each (template, offset) that some word votes for.
     idf = _literal_map(weight, lambda v: f"{v!r}D")
     postings = _literal_map(_postings(), lambda v: "array(" + ", ".join(f"struct({t} as t, {i} as p)" for t, i in v) + ")")
-    d = seen.where("lic is not null").select("row", "lic").withColumn("idf", idf).withColumn("postings", postings)
-    d = d.withColumn("ranked", F.expr("sort_array(transform(array_distinct(transform(lic, x -> x.w)), x -> idf[x]), false)"))
-    d = d.withColumn("least", F.expr(f"ranked[least({RARE}, size(ranked)) - 1]"))
-    d = d.withColumn("hit", F.explode(F.expr("flatten(transform(filter(lic, x -> idf[x.w] >= least), x -> transform(postings[x.w], y -> struct(y.t as t, x.i - y.p as o, idf[x.w] as weight))))")))
-    votes = d.groupBy("row", "least", F.col("hit.t").alias("t"), F.col("hit.o").alias("o")).agg(F.count("*").alias("c"), F.sum("hit.weight").alias("weight"))
-    facts = [f"struct({t} as t, '{label}' as label, {min(AGREE, len(set(text.split())))} as need, {_quoted(list(keys))} as needed, array({', '.join(f'{weight[w]!r}D' for w in text.split())}) as weights)" for t, (label, text, keys) in enumerate(TEMPLATES)]
-    votes = votes.withColumn("f", F.expr("array(" + ", ".join(facts) + ")[t]")).where("c >= f.need")
-    could = F.expr("aggregate(filter(f.weights, x -> x >= least), 0D, (a, x) -> a + x)")
-    votes = votes.withColumn("score", F.least(F.lit(1.0), F.col("weight") / F.greatest(could, F.lit(1e-9))))
-    best = votes.groupBy("row", "t").agg(F.max("score").alias("score"), F.first("f.label").alias("label"), F.first("f.needed").alias("needed"))
-    # A template counts only where all of its mandatory phrases stand.
-    held = best.join(seen.where("lic is not null").select("row", "keys"), "row").where("size(array_except(needed, keys)) = 0")
-    verdict = held.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
+    facts = "array(" + ", ".join(f"struct({t} as t, '{label}' as label, {min(AGREE, len(set(text.split())))} as need, {_quoted(list(keys))} as needed, {sum(weight[w] for w in text.split())!r}D as whole)" for t, (label, text, keys) in enumerate(TEMPLATES)) + ")"
+    could = F.expr(f"transform(filter({facts}, f -> size(array_except(f.needed, keys)) = 0), f -> f.t)")
+    d = seen.where("lic is not null").select("row", "lic", could.alias("could")).where("size(could) > 0").withColumn("idf", idf).withColumn("postings", postings)
+    d = d.withColumn("hit", F.explode(F.expr("flatten(transform(lic, x -> transform(filter(postings[x.w], y -> array_contains(could, y.t)), y -> struct(y.t as t, x.i - y.p as o, idf[x.w] as weight))))")))
+    votes = d.groupBy("row", F.col("hit.t").alias("t"), F.col("hit.o").alias("o")).agg(F.count("*").alias("c"), F.sum("hit.weight").alias("weight"))
+    votes = votes.withColumn("f", F.expr(f"{facts}[t]")).where("c >= f.need")
+    votes = votes.withColumn("score", F.least(F.lit(1.0), F.col("weight") / F.greatest(F.col("f.whole"), F.lit(1e-9))))
+    verdict = votes.groupBy("row").agg(F.collect_set("f.label").alias("found"), F.max("score").alias("score"))
     d = seen.join(verdict, "row", "left")
     return d.select(
         F.col("doc_id").alias(id_col),

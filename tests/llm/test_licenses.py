@@ -36,3 +36,21 @@ def test_templates_are_found_in_prose_and_nothing_else(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_several_licences_in_one_text_are_all_found(spark):
+    texts = {label: text for label, text, _ in reversed(TEMPLATES)}
+    long_mit = next(t for label, t, _ in TEMPLATES if label == "mit" and "hereby" in t)
+    four = ["mit", "apache-2.0", "gpl-3.0", "cc-by-nc-4.0"]
+    sets = [["mit", "gpl-3.0"], ["apache-2.0", "mit", "cc-by-nc-4.0"], four, list(texts)]
+    rows = [(i, "\n".join(texts[x] for x in labels), "x") for i, labels in enumerate(sets)]
+    rows += [(10 + i, f"{long_mit}\n{texts[x]}", "x") for i, x in enumerate(four[1:])]
+    rows += [(20, f"{texts['mit']} any person obtaining charge for creative commons universal domain public dedication", "x")]
+    # Common words elsewhere make the MIT line's words the least rare ones.
+    rows += [(1000 + i, texts["mit"], "x") for i in range(60)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, labels in enumerate(sets):
+        assert set(labels) <= got[i], set(labels) - got[i]
+    for i, x in enumerate(four[1:]):
+        assert {"mit", x} <= got[10 + i], x
+    assert "mit" in got[20]
