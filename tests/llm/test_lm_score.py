@@ -87,3 +87,40 @@ def test_empty_and_untrained(spark):
     assert lm.score_documents(spark.createDataFrame([], SCHEMA)).collect() == []
     r = lm.score_documents(spark.createDataFrame([(1, "ab", "x")], SCHEMA), held_out="true").first()
     assert r.train_tokens == 0 and r.n_known == 0 and abs(r.score + 3 * math.log10(256)) < 1e-4
+
+
+def deep_model(texts):
+    tables = {k: defaultdict(Counter) for k in (4, 2, 1, 0)}
+    for t in texts:
+        b = b"\xff" * 4 + t.encode() + b"\xff"
+        for i in range(4, len(b)):
+            for k, x in tables.items():
+                x[b[i - k : i]][b[i]] += 1
+
+    def p(context, byte):
+        out, gone = 1.0, set()
+        for k, x in tables.items():
+            left = {s: n for s, n in x.get(context[4 - k :], {}).items() if s not in gone}
+            if not left:
+                continue
+            if byte in left:
+                return out * left[byte] / (sum(left.values()) + len(left))
+            out *= len(left) / (sum(left.values()) + len(left))
+            gone |= set(left)
+        return out / (256 - len(gone))
+
+    return p
+
+
+def test_contexts_of_four_bytes_equal_brute_force(spark, monkeypatch):
+    rows = [(i, t, "x") for i, (_, t, _) in enumerate(corpus()) if len(t or "") < 2000][:80]
+    p = deep_model([t or "" for d, t, _ in rows if not held(d)])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for size in (0, 300, 1 << 19):  # none, some and all contexts are broadcast
+        monkeypatch.setattr(lm, "DEEP", size)
+        got = {r.doc_id: r.score for r in lm.score_documents(docs, order=4).collect()}
+        assert len(got) == len(rows)
+        for d, t, _ in rows:
+            b = b"\xff" * 4 + (t or "").encode() + b"\xff"
+            want = sum(math.log10(p(b[i - 4 : i], b[i])) for i in range(4, len(b)))
+            assert abs(got[d] - want) < 1e-4 * abs(want)
