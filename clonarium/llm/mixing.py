@@ -1,4 +1,10 @@
-"""Mixing sources to target weights by a multivariate-hypergeometric splitting tree over blocks."""
+"""Mixing sources to target weights by a multivariate-hypergeometric splitting tree over blocks.
+
+A source's documents stand in a keyed permutation, cut into blocks. A draw takes one block; whole passes over a source draw all its blocks,
+the last pass those up to a cut. The tree splits the numbers of draws of all sources exactly among the output shards; each shard takes the
+next run of each source's draws, and its documents in a shuffled order. All of that is arithmetic on a document's place once the
+cuts are known, so no document is joined to its block, and no group of documents meets in one task.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonarium.plans.store import stash
+from clonarium.plans.store import new_folder, partitions, stash
 
 BLANKS = " \t\n\x0b\x0c\r"
-#: Words of a block, about; a block is what one draw takes.
-BLOCK = 20_000
+#: Words of a block, about; a block is what one draw takes. Sources hold ``BLOCKS`` blocks together at most (larger ones, if need be), so that
+#: their numbers stay in the range of the generator.
+BLOCK, BLOCKS = 20_000, 1 << 28
 #: A source's words are used so many times at most.
 REPEATS = 3
 #: Weights of the sources in the order of their names, repeating.
@@ -66,88 +73,128 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _plan(docs: DataFrame, source: str, text: str, seed: int, weights: tuple[int, ...], repeats: int, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: documents with size, block, target and rank key; blocks with their draws."""
-    row = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"))
-    # A document's place in the permutation of its source: 60 bits of a keyed hash.
-    row = row.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "id", "source"), F.lit(1 << 60)))
-    row = stash(row, "sizes")
-    total = row.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aim = targets(total, weights, repeats).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(BLOCK)))).cast("long"))
-    aim = stash(aim, "targets")
-    placed = row.join(F.broadcast(aim) if _few(aim) else aim, row["source"].eqNullSafe(aim["source"])).drop(aim["source"])
-    placed = placed.withColumn("block", F.floor(F.col("place") / F.lit(float(1 << 60)) * F.col("blocks")).cast("long"))
-    return placed, aim
-
-
-#: Sources up to which their table of targets is broadcast.
+#: Bits of a document's place in the permutation of its source, and those that one step of the search for a cut looks at.
+PLACE, DIGIT = 48, 8
+#: Sources up to which tables with a row for each source are broadcast.
 FEW = 100_000
 
 
-def _few(aim: DataFrame) -> bool:
-    return aim.limit(FEW + 1).count() <= FEW
+def _joined(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """Rows with the columns of their source; beyond ``FEW`` sources by a join that adaptive execution can split."""
+    other = sources.withColumnRenamed("source", "_of")
+    return rows.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id, source, size, source_size, target, copies, shards (one for each copy) and order.
+def _rows(docs: DataFrame, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """doc (all columns), id, source, size and place of each row; the place follows from the row's id, source and text."""
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    d = doc.select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{source_col}`").cast("string").alias("source"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
+    return d.select("doc", "id", "source", size_of("text").alias("size"), F.pmod(F.xxhash64(F.lit(seed), "id", "source", "text"), F.lit(1 << PLACE)).alias("place"))
 
-    Sources come in the order of their names by code point, null last, and weigh ``weights`` in turn. A source is
-    cut into blocks of about ``BLOCK`` words by a keyed permutation of its documents. Its target is reached by whole passes over
-    its blocks, then by the first blocks of one more pass; in the last of these, by the documents that come first and
-    whose middle lies within what is still missing. The numbers of block draws are split exactly among the shards by the tree;
-    each shard takes the next run of each source's draws, so shards share a block only by passes. ``order`` shuffles within a shard.
 
-    * Null text: size 0; such documents are taken like others and count nothing. Null source: a source of its own, last.
-    * Repeated rows are documents of their own. Null ids share one place. An empty table gives an empty result.
-    * Reruns agree: every choice follows from ``seed``, ids and sources. What reaches the driver is one number for each source.
+def cuts(rows: DataFrame, aim: DataFrame, few: bool) -> DataFrame:
+    """(source, cut): the last place that the partial pass of a source takes. Sources without such a pass have no row.
+
+    A radix search: each step adds up sizes by source and the next ``DIGIT`` bits of the place, among the rows whose place begins as the
+    cut does. A step shuffles at most 2 ** DIGIT sums for each source and task, whatever a source holds.
     """
-    placed, aim = _plan(docs, source_col, text_col, seed, weights, repeats, id_col)
-    placed = stash(placed, "placed")
-    by = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    run = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    by = by.withColumn("missing", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    # full: the last, partial pass takes the whole block; part: it ends there
-    by = by.withColumn("full", F.col("before") + F.col("words") <= F.col("missing")).withColumn("part", ~F.col("full") & (F.col("before") < F.col("missing")))
-    by = by.withColumn("draws", F.col("passes") + (F.col("full") | F.col("part")).cast("long"))
-    by = stash(by.withColumn("first_draw", F.coalesce(F.sum("draws").over(run), F.lit(0))), "blocks")
-    quotas = by.groupBy("source").agg(F.sum("draws").alias("quota")).orderBy(F.col("source").isNull(), "source").collect()
+    state = aim.where("missing > 0").select("source", "missing", F.lit(0).cast("long").alias("lead"))
+    for bits in range(PLACE - DIGIT, -1, -DIGIT):
+        live = _joined(rows.select("source", "size", "place"), state, few).where(F.expr(f"shiftright(place, {bits + DIGIT}) = lead"))
+        sums = live.groupBy("source", F.expr(f"shiftright(place, {bits})").alias("digit")).agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+        run = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+        if bits:  # the digit at which the missing words run out
+            step = sums.groupBy("source").agg(F.expr("coalesce(min(case when before + words > missing then struct(digit, before) end), max(struct(digit, before)))").alias("x"), F.first("missing").alias("missing"))
+            state = stash(step.select("source", (F.col("missing") - F.col("x.before")).alias("missing"), F.col("x.digit").alias("lead")), "cut")
+        else:  # the last place whose middle lies within the missing words; if there is none, the place before the first
+            state = stash(sums.groupBy("source").agg(F.expr("coalesce(max(case when before + words / 2 <= missing then digit end), min(digit) - 1)").alias("cut")), "cut")
+    return state
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], repeats: int, shards: int, seed: int) -> tuple[DataFrame, bool]:
+    """One row for each source: source_size, target, passes, blocks, cut, and the draws at which each shard's run ends. And whether they are few."""
+    spark = rows.sparkSession
+    total = stash(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    few = total.limit(FEW + 1).count() <= FEW
+    words = total.agg(F.sum("source_size")).first()[0] or 0
+    block = float(max(BLOCK, -(-words // BLOCKS)))
+    aim = targets(total, weights, repeats).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block))).cast("long"))
+    aim = aim.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    aim = stash(aim.withColumn("missing", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
+    cut = cuts(rows, aim, few).withColumnRenamed("source", "_of")
+    plan = aim.join(cut, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of").withColumn("cut", F.coalesce("cut", F.lit(-1)))
+    plan = stash(plan.withColumn("quota", F.col("passes") * F.col("blocks") + F.when(F.col("cut") >= 0, _block("cut") + 1).otherwise(0)), "quotas")
+    quotas = plan.select("source", "quota").orderBy(F.col("source").isNull(), F.encode("source", "utf-8")).collect()
     tree = split_quotas(np.array([r["quota"] for r in quotas], np.int64), shards, seed) if quotas else np.zeros((shards, 0), np.int64)
-    ends = np.cumsum(tree, axis=0)
-    runs = [(r["source"], s, int(ends[s, i] - tree[s, i]), int(ends[s, i])) for i, r in enumerate(quotas) for s in range(shards) if tree[s, i]]
-    shard_runs = docs.sparkSession.createDataFrame(runs, "src string, shard int, lo long, hi long")
-
-    # Each draw of a block falls in one shard's run of its source; a block has repeats + 1 draws at most.
-    draws = by.where("draws > 0").select("source", "block", F.explode(F.expr("sequence(0L, draws - 1)")).alias("nth"), "first_draw")
-    met = draws.join(shard_runs, draws["source"].eqNullSafe(shard_runs["src"]) & (F.col("first_draw") + F.col("nth") >= F.col("lo")) & (F.col("first_draw") + F.col("nth") < F.col("hi")))
-    lists = met.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.sort_array(F.collect_list(F.struct("nth", "shard"))).alias("dealt"))
-    plan = by.join(lists, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").select(
-        F.col("source").alias("src"), F.col("block").alias("blk"), "passes", "full", "part", (F.col("missing") - F.col("before")).alias("left"), F.transform("dealt", lambda x: x["shard"]).alias("dealt")
-    )
-    rows = placed.select("id", "source", "size", "place", "source_size", "target", "block").join(plan, F.col("source").eqNullSafe(F.col("src")) & (F.col("block") == F.col("blk")))
-    # Only blocks where a partial pass ends are put in order: one for each source.
-    inner = Window.partitionBy("source", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ended = rows.where("part").withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0))).withColumn("copies", F.expr("passes + case when ahead + size / 2 <= left then 1 else 0 end")).drop("ahead")
-    rest = rows.where("not part").withColumn("copies", F.expr("passes + case when full then 1 else 0 end"))
-    out = rest.unionByName(ended)
-    return out.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        F.col("copies").cast("long").alias("copies"),
-        F.when(F.col("copies") > 0, F.slice("dealt", F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>")).alias("shards"),
-        F.xxhash64(F.lit(seed + 1), "id").alias("order"),
-    )
+    ends = spark.createDataFrame([(r["source"], e) for r, e in zip(quotas, np.cumsum(tree, axis=0).T.tolist(), strict=True)], "_of string, ends array<long>")
+    return stash(plan.join(ends, F.col("source").eqNullSafe(F.col("_of"))).drop("_of", "quota", "missing"), "plan"), few
 
 
-def taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row for each input row: id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    return mix(docs, id_col=id_col, **options).select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+def _block(place: str) -> Column:
+    return F.floor(F.col(place) / F.lit(float(1 << PLACE)) * F.col("blocks")).cast("long")
+
+
+def _dealt(rows: DataFrame, plan: DataFrame, few: bool, seed: int) -> DataFrame:
+    """Rows with the shards of their draws, one for each copy. Draw number ``pass * blocks + block`` of a source lies in the run of one shard."""
+    d = _joined(rows, plan, few).withColumn("block", _block("place"))
+    shard = "size(filter(ends, e -> e <= j * blocks + block))"
+    whole = f"case when passes > 0 then transform(sequence(0L, passes - 1), j -> {shard}) else cast(array() as array<int>) end"
+    return d.withColumn("shards", F.expr(f"concat({whole}, case when place <= cut then transform(array(passes), j -> {shard}) else cast(array() as array<int>) end)"))
+
 
+def _drawn(rows: DataFrame, plan: DataFrame, few: bool, shards: int, seed: int) -> DataFrame:
+    """One row for each copy, dealt to its shard (several tasks share one) and shuffled there: the columns of ``rows``, shard and order."""
+    d = _dealt(rows, plan, few, seed).select(*rows.columns, F.posexplode("shards").alias("nth", "shard"))
+    d = d.withColumn("order", F.xxhash64(F.lit(seed + 1), "id", "place", "nth")).drop("nth")
+    spark = rows.sparkSession
+    lanes = max(1, partitions(spark) // shards)
+    return d.repartition(max(shards, partitions(spark)), "shard", F.pmod("order", F.lit(lanes))).sortWithinPartitions("shard", "order")
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: whole passes repeat a row, a missed draw drops it.
 
-    Rows that repeat an id are taken as often as the first of them. Rows with a null id are not mixed and are left out.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row for each input row: id, source, size, source_size, target, and shards (one for each copy that the mix takes).
+
+    Sources come in the order of their names by code point, null last, and weigh ``weights`` in turn. A target is reached by whole passes over
+    the source's blocks, then by the documents of one more pass up to a cut, the one whose middle lies within what is still missing.
+
+    * Null text: size 0; such documents are taken like others and count nothing. Null source: a source of its own, last.
+    * Null ids are like others. Rows that repeat id, source and text have one place, so each is taken equally often. An empty table gives an empty result.
+    * Reruns agree: every choice follows from ``seed``, ids, sources and texts. What reaches the driver is one number for each source.
     """
-    drawn = mix(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(drawn, id_col)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = stash(_rows(docs, seed, id_col, source_col, text_col).drop("doc"), "sizes")
+    plan, few = _plan(rows, weights, repeats, shards, seed)
+    return _dealt(rows, plan, few, seed).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "shards")
+
+
+def write_shards(docs: DataFrame, path: str, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Writes the mix below ``path``: a folder for each shard, its documents in shuffled order, with columns doc (all columns of ``docs``), id,
+    source, size, place and order. Returns id, source, size, place, source_size and target of each input row."""
+    rows = _rows(docs, seed, id_col, source_col, text_col)
+    seen = stash(rows.drop("doc"), "sizes")
+    plan, few = _plan(seen, weights, repeats, shards, seed)
+    _drawn(rows, plan, few, shards, seed).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return _joined(seen, plan.select("source", "source_size", "target"), few)
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row for each input row: id, size, source_size, target, taken: the words of it that stand in the written shards, repeats counted."""
+    spark = docs.sparkSession
+    path = new_folder(spark, "shards")
+    rows = write_shards(docs, path, id_col=id_col, **options)
+    schema = "id string, source string, size long, place long"
+    # A source or table may be empty, and then no shard is written.
+    found = spark.read.schema(schema.replace("id string", f"id {rows.schema['id'].dataType.simpleString()}")).parquet(path)
+    same = [F.col("r.id").eqNullSafe(F.col("g.id")), F.col("r.source").eqNullSafe(F.col("g.source")), F.col("r.place") == F.col("g.place")]
+    both = rows.select("id", "source", "place", F.lit(1).alias("rows"), F.lit(0).cast("long").alias("words")).unionAll(found.select("id", "source", "place", F.lit(0), "size"))
+    # Rows that repeat id, source and text share what is found of them.
+    got = both.groupBy("id", "source", "place").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+    d = rows.alias("r").join(got.alias("g"), same[0] & same[1] & same[2], "left")
+    return d.select(F.col("r.id").alias(id_col), "r.size", "r.source_size", "r.target", F.expr("g.words div g.rows").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, shard by shard in shuffled order: whole passes repeat a row, a missed draw drops it."""
+    rows = _rows(docs, seed, id_col, source_col, text_col)
+    plan, few = _plan(stash(rows.drop("doc"), "sizes"), weights, repeats, shards, seed)
+    return _drawn(rows, plan, few, shards, seed).select("doc.*")

@@ -29,7 +29,7 @@ def test_stages_take_effect_in_turn(spark, tmp_path):
     assert set(ids(good)) - {None} == kept - {None}
     have = [(r.doc_id, r.text) for r in good.collect()]
     assert {d for d in ids(single) if d is not None} == {c for d, _, c in brute(have, 5, 4, 5) if d is not None}
-    assert ids(mixed) == Counter({r.doc_id: r.copies for r in mix(single).collect() if r.copies and r.doc_id is not None})
+    assert ids(mixed) == Counter({r.doc_id: len(r.shards) for r in mix(single).collect() if len(r.shards) and r.doc_id is not None})
     rows = packed.collect()
     check(rows, CAPACITIES)
     want = Counter()
