@@ -7,6 +7,7 @@ at its terminal node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,12 @@ from clonarium.llm import _kernels as K
 from clonarium.plans.store import ship
 
 U = np.uint64
-#: Words up to so many code points go through the shared trie; longer ones through the same recursion on their own.
+#: Words up to so many code points go through the shared trie. Longer ones share no prefix worth a node and go through the same
+#: recursion one by one; scores are whole numbers, so both give the same counts, ties included.
 LONG = 48
+#: Units of a score of 1.
+UNIT = 1 << 30
+_NONE = -(1 << 62)
 #: Distinct words that a worker collects before it runs a trie.
 TRIE = 200_000
 #: Counts that a worker keeps by word hash.
@@ -31,19 +36,20 @@ _POWER = np.array([pow(_BASE, i, 2**64) for i in range(LONG + 64)], U)
 
 class Vocabulary:
     """Pieces with unigram scores: the logarithm of a Zipf weight by rank, 1 / (rank + 2.7), as public vocabularies come in order of
-    merging. Characters without a piece cost one token for each UTF-8 byte, at the score of the last rank."""
+    merging and the file has no counts. Scores are rounded to multiples of 1 / ``UNIT`` and added up as whole numbers, so sums are exact in
+    any order. Characters without a piece cost one token for each UTF-8 byte, at the score of the last rank."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.scores = {p: -float(np.log(r + 2.7)) for r, p in enumerate(pieces)}
-        self.byte = -float(np.log(len(pieces) + 2.7))
+        self.scores = {p: -round(math.log(r + 2.7) * UNIT) for r, p in enumerate(pieces)}
+        self.byte = -round(math.log(len(pieces) + 2.7) * UNIT)
         self.longest = max(map(len, self.scores))
         codes = np.array([self.hash(p) for p in self.scores], U)
         order = np.argsort(codes)
-        self.codes, self.values = codes[order], np.array(list(self.scores.values()))[order]
+        self.codes, self.values = codes[order], np.array(list(self.scores.values()), np.int64)[order]
         # A bit for each of the lower bits of a piece's mixed hash: most substrings are no pieces.
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(K.mix(self.codes) >> U(42)).astype(np.int64)] = True
@@ -56,8 +62,8 @@ class Vocabulary:
         return h
 
     def find(self, codes: np.ndarray) -> np.ndarray:
-        """Scores of pieces by hash; -inf where there is none."""
-        out = np.full(len(codes), -np.inf)
+        """Scores of pieces by hash; ``_NONE`` where there is none."""
+        out = np.full(len(codes), _NONE)
         may = np.flatnonzero(self.bloom[(K.mix(codes) >> U(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.codes, codes[may]), len(self.codes) - 1)
         hit = self.codes[at] == codes[may]
@@ -65,16 +71,17 @@ class Vocabulary:
         return out
 
 
-def best_count(word: str, vocabulary: Vocabulary) -> int:
-    """Tokens of the best segmentation of one word, by the plain recursion. Ties go to fewer tokens."""
-    best = [(0.0, 0)]
+def _line_count(word: str, vocabulary: Vocabulary) -> int:
+    """Tokens of the best segmentation of one word. Ties go to fewer tokens."""
+    scores, longest, byte = vocabulary.scores, vocabulary.longest, vocabulary.byte
+    best = [(0, 0)]
     for end in range(1, len(word) + 1):
         size = len(word[end - 1].encode("utf-8", "replace"))
-        options = [(best[end - 1][0] + size * vocabulary.byte, best[end - 1][1] - size)]
-        for start in range(max(0, end - vocabulary.longest), end):
-            if (score := vocabulary.scores.get(word[start:end])) is not None:
-                options.append((best[start][0] + score, best[start][1] - 1))
-        best.append(max(options, key=lambda x: (round(x[0], 9), x[1])))
+        option = (best[end - 1][0] + size * byte, best[end - 1][1] - size)
+        for start in range(max(0, end - longest), end):
+            if (score := scores.get(word[start:end])) is not None:
+                option = max(option, (best[start][0] + score, best[start][1] - 1))
+        best.append(option)
     return -best[-1][1]
 
 
@@ -84,7 +91,7 @@ def trie_counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     size = np.array([len(w) for w in words])
     short = np.flatnonzero((size > 0) & (size <= LONG))
     for i in np.flatnonzero(size > LONG):
-        out[i] = best_count(words[i], vocabulary)
+        out[i] = _line_count(words[i], vocabulary)
     if not len(short):
         return out
     table = np.array([words[i] for i in short], f"U{LONG}").view(np.uint32).reshape(len(short), LONG)
@@ -93,7 +100,7 @@ def trie_counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     # Level by level: node of each word's prefix, and each node's parent, prefix hash, forward score and tokens (negative).
     node = np.zeros(len(short), np.int64)
     parents, hashes = [np.zeros(1, np.int64)], [np.zeros(1, U)]
-    scores, tokens = [np.zeros(1)], [np.zeros(1, np.int64)]
+    scores, tokens = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     alive = np.arange(len(short))
     for depth in range(1, deep + 1):
         alive = alive[size[alive] >= depth]
@@ -111,11 +118,11 @@ def trie_counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
         for back_ in range(1, min(depth, vocabulary.longest) + 1):
             ancestor = parents[depth - back_ + 1][ancestor]
             found = vocabulary.find(own - hashes[depth - back_][ancestor] * _POWER[back_])
-            at = np.flatnonzero(found > -np.inf)
+            at = np.flatnonzero(found > _NONE)
             if not len(at):
                 continue
             score, number = scores[depth - back_][ancestor[at]] + found[at], tokens[depth - back_][ancestor[at]] - 1
-            better = (score > best[at] + 5e-10) | ((np.abs(score - best[at]) <= 5e-10) & (number > count[at]))
+            better = (score > best[at]) | ((score == best[at]) & (number > count[at]))
             best[at[better]], count[at[better]] = score[better], number[better]
         hashes.append(own)
         scores.append(best)
@@ -149,7 +156,7 @@ def _count(path: str):
                 raw = part.tobytes()
                 for a in range(0, len(new), TRIE):
                     some = new[a : a + TRIE]
-                    words = ["▁" + raw[starts[i] : ends[i]].decode() for i in first[some]]
+                    words = ["▁" + raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[some]]
                     counts[some] = trie_counts(words, vocabulary)
                 if len(keys) + len(new) > KEPT:
                     keys, values = keys[:0], values[:0]
@@ -170,7 +177,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     the new distinct words of a stretch of text and keeps their counts for the next.
 
     * Null or empty text: zeros. Null ids and repeated rows are counted like others. An empty table gives an empty result.
-    * Ties between segmentations go to fewer tokens. Words of any length are counted; the longest ones off the trie.
+    * Ties between segmentations go to fewer tokens. Words of any length are counted; bytes that are not UTF-8 are read as replacement characters.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

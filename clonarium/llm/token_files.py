@@ -5,7 +5,8 @@ files; any store that Spark can write to will do). A section:
 
     magic "PFR1" | header length u32 | header (JSON, UTF-8) | payload
 
-The header has the number of documents, of ids and of blocks; the payload, in this order and little-endian:
+The header has the number of documents, of ids and of blocks, and of documents without an id, which come last; the payload, in this order
+and little-endian:
 
     document ids i64 | ids per document u32 | block starts u64 (byte offsets of the blocks in the block area) | block area
 
@@ -34,6 +35,8 @@ BLOCK = 4096
 PERCENTILE = 90
 #: Text bytes of a section, about: what a task holds at once.
 SECTION = 2 << 20
+#: Sections of a file, at most, so that a task can read one whole.
+FILE = 64
 #: Encoded parts that a worker keeps, at about 40 bytes each.
 KEPT = 1_200_000
 _HEAD = struct.Struct("<IHBH")
@@ -75,34 +78,56 @@ def unpack_block(data: memoryview, at: int) -> tuple[np.ndarray, int]:
     return rest + np.uint32(low), at + 4 * exceptions
 
 
-def pack_section(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def pack_section(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, unnamed: int = 0) -> bytes:
     starts, area, at = [], [], 0
     for lo in range(0, len(ids), BLOCK):
         area.append(pack_block(ids[lo : lo + BLOCK]))
         starts.append(at)
         at += len(area[-1])
-    header = json.dumps({"docs": len(docs), "ids": len(ids), "blocks": len(starts), "block": BLOCK, "bytes": at}).encode()
+    header = json.dumps({"docs": len(docs), "unnamed": unnamed, "ids": len(ids), "blocks": len(starts), "block": BLOCK, "bytes": at}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.array(starts, "<u8").tobytes(), *area])
 
 
-def read_sections(data: bytes, with_ids: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document ids, ids per document, ids) of each section of a file."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+class Section:
+    """A section of a file. Ids are decoded on demand, and only the blocks that hold them, which the index of block starts finds."""
+
+    def __init__(self, view: memoryview, at: int):
         if view[at : at + 4] != MAGIC:
             raise ValueError(f"no section at byte {at}")
         (size,) = struct.unpack_from("<I", view, at + 4)
-        head = json.loads(bytes(view[at + 8 : at + 8 + size]))
+        self.head = head = json.loads(bytes(view[at + 8 : at + 8 + size]))
         at += 8 + size
-        docs = np.frombuffer(view, "<i8", head["docs"], at)
+        self.docs = np.frombuffer(view, "<i8", head["docs"], at)
         at += 8 * head["docs"]
-        counts = np.frombuffer(view, "<u4", head["docs"], at)
+        self.counts = np.frombuffer(view, "<u4", head["docs"], at)
         at += 4 * head["docs"]
-        starts = np.frombuffer(view, "<u8", head["blocks"], at).astype(np.int64)
-        at += 8 * head["blocks"]
-        ids = [unpack_block(view, at + int(s))[0] for s in starts] if with_ids else []
-        yield docs, counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        at += head["bytes"] + 1
+        self.starts = np.frombuffer(view, "<u8", head["blocks"], at).astype(np.int64)
+        self.area = at + 8 * head["blocks"]
+        self.view, self.end = view, self.area + head["bytes"] + 1
+
+    def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Ids from place ``lo`` to before ``hi`` of the section."""
+        hi = self.head["ids"] if hi is None else hi
+        if hi <= lo:
+            return np.zeros(0, np.uint32)
+        size = self.head["block"]
+        first = lo // size
+        some = [unpack_block(self.view, self.area + int(s))[0] for s in self.starts[first : -(-hi // size)]]
+        return np.concatenate(some)[lo - first * size : hi - first * size]
+
+    def named(self, low: int | None, high: int | None) -> tuple[int, int]:
+        """First and last (exclusive) place of the documents with ids from ``low`` to ``high``; of all, if both are None."""
+        if low is None and high is None:
+            return 0, len(self.docs)
+        own = self.docs[: len(self.docs) - self.head["unnamed"]]
+        return (0 if low is None else int(np.searchsorted(own, low))), (len(own) if high is None else int(np.searchsorted(own, high, "right")))
+
+
+def sections(data: bytes) -> Iterator[Section]:
+    view, at = memoryview(data), 0
+    while at < len(view):
+        yield (section := Section(view, at))
+        at = section.end
 
 
 class Encoder:
@@ -110,20 +135,24 @@ class Encoder:
 
     The tokenizer's pre-tokenisation starts a new piece at each space or line feed that stands alone between other
     characters, so a text is the sum of its parts cut there. Parts are told apart by 64-bit hashes; those not met before are
-    encoded by the tokenizers library, many in one string with line feeds between, and parts with more white space inside one by one.
+    encoded by the tokenizers library, many in one string with line feeds between, and parts with more white space inside or with an added
+    token one by one. Bytes that are not UTF-8 are read as replacement characters.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        # A special token's name in a text is ordinary text.
-        self.tool.encode_special_tokens = True
+        #: Added tokens are found in a text before it is cut into pieces. Parts that hold one are encoded on their own.
+        added = list(self.tool.get_added_tokens_decoder().values())
+        self.added = [t.content.encode() for t in added]
         self.kept = kept
         self.clear()
         line, after = self.ids("\n x"), self.ids("\nx")
+        cuts = line[1:] == self.ids(" x") and after[1:] == self.ids("x") and line[0] == after[0]
+        cuts &= not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added)
         #: The id of a line feed; None if the tokenizer does not cut as described, and then texts are not cut.
-        self.line = line[0] if line[1:] == self.ids(" x") and after[1:] == self.ids("x") and line[0] == after[0] else None
+        self.line = line[0] if cuts else None
 
     def clear(self) -> None:
         self.codes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -136,16 +165,17 @@ class Encoder:
         out = []
         for lo in range(0, len(parts), 20_000):
             some = parts[lo : lo + 20_000]
-            ids = np.array(self.ids((before + before.join(some)).decode()), np.uint32)
+            ids = np.array(self.ids((before + before.join(some)).decode("utf-8", "replace")), np.uint32)
             cut = np.flatnonzero(ids == self.line)
             if len(cut) != len(some):
-                out += [np.array(self.ids(p.decode()), np.uint32) for p in some]
+                out += [np.array(self.ids(p.decode("utf-8", "replace")), np.uint32) for p in some]
             else:
                 out += [x[skip:] for x in np.split(ids, cut[1:])]
         return out
 
     def _learn(self, code: np.ndarray, parts: list[bytes], solid: np.ndarray) -> None:
         lined = np.array([p[:1] == b"\n" for p in parts], bool)
+        solid = solid & ~np.array([any(x in p for x in self.added) for p in parts], bool)
         ids: list[np.ndarray] = [None] * len(parts)  # type: ignore[list-item]
         for own, before, skip in ((solid & ~lined, b"\n", 1), (solid & lined, b"", 0)):
             at = np.flatnonzero(own)
@@ -153,7 +183,7 @@ class Encoder:
                 for i, x in zip(at.tolist(), self._joined([parts[i] for i in at], before, skip), strict=True):
                     ids[i] = x
         for i in np.flatnonzero(~solid).tolist():
-            ids[i] = np.array(self.ids(parts[i].decode()), np.uint32)
+            ids[i] = np.array(self.ids(parts[i].decode("utf-8", "replace")), np.uint32)
         if len(self.codes) + len(code) > self.kept:
             self.clear()
         size = np.array([len(x) for x in ids])
@@ -218,10 +248,11 @@ def _write(path: str, end: int):
         tool = encoder(path)
         for batch in batches:
             data, at = K.text_buffers(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi, part, off in K.chunks(data, at, SECTION):
                 ids, counts = tool.encode(part, off, end)
-                yield pa.RecordBatch.from_arrays([pa.array([pack_section(docs[lo:hi], counts, ids)], pa.binary())], names=["section"])
+                yield pa.RecordBatch.from_arrays([pa.array([pack_section(docs[lo:hi], counts, ids, int((~named[lo:hi]).sum()))], pa.binary())], names=["section"])
 
     return run
 
@@ -229,47 +260,52 @@ def _write(path: str, end: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write its ids, closed by ``end``, into files below ``path`` in ascending document id order.
 
-    File names ascend with the document ids. Null text is empty: just the end id. Rows without an id have no place in the
-    order and are left out. Repeated ids stand next to each other, in any order. An empty table writes no section.
+    File names ascend with the document ids, and a file has ``FILE`` sections at most. Null text is empty: just the end id. Rows without an
+    id come last. Repeated ids stand next to each other, in the order of a hash of their texts. An empty table writes no section.
     """
     ship(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id")
-    sections = rows.mapInArrow(_write(tokenizer_path, end), "section binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    order = [F.asc_nulls_last("id"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    made = rows.mapInArrow(_write(tokenizer_path, end), "section binary")
     # The text writer puts the bytes of a string into the file as they are.
     with small_batches(docs.sparkSession):
-        sections.select(F.col("section").cast("string")).write.option("lineSep", "\n").text(path)
+        made.select(F.col("section").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE).text(path)
 
 
-def _read(want_ids: bool):
-    names = ["path", "nth", "doc_id", "n_tokens", "before"] + (["ids"] if want_ids else ["ids_crc32"])
+def _read(want_ids: bool, low: int | None, high: int | None):
+    names = ["path", "doc_id", "n_tokens", "before"] + (["ids"] if want_ids else ["ids_crc32"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                nth = before = 0
-                for docs, counts, ids in read_sections(content.as_py()):
-                    ends = np.cumsum(counts.astype(np.int64))
-                    raw = ids.astype("<u4").tobytes()
-                    own = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                    last = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in own], pa.list_(pa.int32())) if want_ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(docs)), pa.array(np.arange(nth, nth + len(docs))), pa.array(docs), pa.array(counts.astype(np.int64)), pa.array(before + ends - counts), last], names=names)
-                    nth += len(docs)
-                    before += int(ends[-1]) if len(ends) else 0
+                before = 0
+                for part in sections(content.as_py()):
+                    a, b = part.named(low, high)
+                    ends = np.cumsum(part.counts.astype(np.int64))
+                    begins = ends - part.counts
+                    if a < b:
+                        base = int(begins[a])
+                        raw = part.ids(base, int(ends[b - 1])).astype("<u4").tobytes()
+                        own = [raw[4 * (x - base) : 4 * (y - base)] for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                        last = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in own], pa.list_(pa.int32())) if want_ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
+                        unnamed = np.arange(a, b) >= len(part.docs) - part.head["unnamed"]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * (b - a)), pa.array(part.docs[a:b], pa.int64(), mask=unnamed), pa.array(part.counts[a:b].astype(np.int64)), pa.array(before + begins[a:b]), last], names=names)
+                    before += part.head["ids"]
 
     return run
 
 
-def read_token_files(spark: SparkSession, path: str, want_ids: bool = True) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, want_ids: bool = True, low: int | None = None, high: int | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, or their ids_crc32, of each document in the files below ``path``.
 
-    A file is read whole by one task; files are as large as one partition of the writer.
+    With ``low`` or ``high``, of the documents with ids in that range: of all other blocks, none is decoded. A task reads one file whole.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     last = "ids array<int>" if want_ids else "ids_crc32 long"
-    rows = files.mapInArrow(_read(want_ids), f"path string, nth long, doc_id long, n_tokens long, before long, {last}")
-    # One row for each file: its ids, from the files' headers.
+    rows = files.mapInArrow(_read(want_ids, low, high), f"path string, doc_id long, n_tokens long, before long, {last}")
+    # One row for each file: its ids, from the headers of its sections.
     sizes = files.mapInArrow(_totals, "path string, total long")
     ahead = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("ahead", F.coalesce(F.sum("total").over(ahead), F.lit(0))).select("path", "ahead")
@@ -278,9 +314,8 @@ def read_token_files(spark: SparkSession, path: str, want_ids: bool = True) -> D
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths, totals = batch.column(0).to_pylist(), []
-        for content in batch.column(1):
-            totals.append(sum(int(c.sum()) for _, c, _ in read_sections(content.as_py(), with_ids=False)))
+        paths = batch.column(0).to_pylist()
+        totals = [sum(part.head["ids"] for part in sections(content.as_py())) for content in batch.column(1)]
         yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(totals, pa.int64())], names=["path", "total"])
 
 
