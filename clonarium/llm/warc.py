@@ -29,20 +29,20 @@ DATE = "2000-01-01T00:00:00Z"
 _EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 
 
-def record(page: int, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
     """One record, up to the last byte of its closing CRLF CRLF. A revisit has an empty block but full digest and length."""
-    name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{x}')}>"
+    name = lambda x, of: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{x}:{of}')}>"
     head = [
         ("WARC-Type", "response" if refers is None else "revisit"),
-        ("WARC-Record-ID", name(page)),
+        ("WARC-Record-ID", name(page, digest)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url or "")),
-        ("WARC-Page-ID", str(page)),
+        ("WARC-Page-ID", "" if page is None else str(page)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Payload-Length", str(len(payload))),
     ]
     if refers is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers)), ("WARC-Refers-To-Page-ID", str(refers))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers, digest)), ("WARC-Refers-To-Page-ID", str(refers))]
     body = payload if refers is None else b""
     head += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
@@ -78,20 +78,23 @@ def plan_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str)
 
     Only ids and digests are grouped; minima are pre-aggregated, so a payload that many pages share is no hot group.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "utf-8"), F.lit(b"")).alias("payload")).where("page is not null")
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    big = rows.where(F.octet_length("payload") >= REVISIT).select("page", "digest", F.octet_length("payload").alias("size"))
-    last = big.groupBy("digest", "size").agg(F.max("page").alias("refers"), F.count("*").alias("c")).where("c > 1")
-    revisits = big.join(last, ["digest", "size"]).where("page <> refers").select("page", "refers").distinct()
-    return rows.join(revisits, "page", "left").select("page", "url", "payload", "digest", "refers")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.encode(F.col(f"`{payload_col}`").cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    big = rows.where(F.col("size") >= REVISIT).select("page", "digest", "size")
+    last = big.groupBy("digest", "size").agg(F.max("page").alias("refers"), F.count("*").alias("c")).where("c > 1 and refers is not null")
+    # A page is told by its payload as well: an id may come with several.
+    revisits = big.join(last, ["digest", "size"]).where("page is null or page <> refers").select("page", "digest", "size", "refers").distinct()
+    same = F.col("p.page").eqNullSafe(F.col("r.page")) & (F.col("p.digest") == F.col("r.digest")) & (F.col("p.size") == F.col("r.size"))
+    return rows.alias("p").join(revisits.alias("r"), same, "left").select("p.page", "p.url", "p.payload", "p.digest", "r.refers")
 
 
 def write_warc(pages: DataFrame, path: str, compress: bool = True, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write one record for each page into files below ``path``; Spark's committer makes them whole or not at all.
 
     Of pages with equal payloads of ``REVISIT`` bytes or more, the one with the largest id is a response and the others revisit it; smaller
-    payloads are all responses. Null payload: empty. Null url: empty. Rows with a null id are left out. Rows that repeat an
-    id with an equal payload are alike responses, or alike revisits.
+    payloads are all responses. Null payload: empty. Null url: empty. A null id is smaller than any other; where all of a payload's ids are
+    null, all are responses. Rows that repeat an id with an equal payload are alike responses, or alike revisits; with unlike payloads each
+    goes by its own.
     """
     ship(pages.sparkSession)
     records = plan_revisits(pages, id_col, url_col, payload_col).mapInArrow(_records(compress), "record binary")
