@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clonarium.plans.store import partitions
+
 REPERTOIRE = """
 SELECT concat('R', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(5)), '-', cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)), '-', cast(cast(l_quantity as bigint) as varchar(5))) AS sequence_id,
  concat('IGHV', cast(1 + l_partkey % 5 as varchar(5)), '-', cast(1 + l_suppkey % 7 as varchar(5)), '*0', cast(1 + l_linenumber % 3 as varchar(5)),
@@ -22,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sequence_id (unique), v_call, j_call, junction, productive, sample_id."""
-    lineitem = table(spark, sf_dir, "lineitem")
+    """sequence_id (unique), v_call, j_call, junction, productive, sample_id.
+
+    The table's file may be a single row group, which one task reads; its few columns are dealt out before sequences are made of them.
+    """
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
+    lineitem = lineitem.repartition(max(partitions(spark), spark.sparkContext.defaultParallelism))
     return spark.sql(REPERTOIRE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)

@@ -44,18 +44,19 @@ def _sql(c: Column | str) -> Column:
 
 
 def translate(sequence: Column | str) -> Column:
-    """Amino acids of whole codons; a rest of one or two letters is left out. Codons with other letters give X."""
+    """Amino acids of whole codons; a rest of one or two letters is left out. Codons with other letters give X.
+
+    The text is cut into codons once, and each is looked up by the places of its letters' codes. Both tables are constants of the plan.
+    """
     s = F.upper(_sql(sequence))
     n = len(CODES)
+    amino = F.split(F.lit(CODONS), "")
 
-    def letter(i: Column) -> Column:
-        place = [F.position(F.substring(s, i * 3 + k, F.lit(1)), F.lit(CODES)) - 1 for k in (1, 2, 3)]
-        whole = (place[0] >= 0) & (place[1] >= 0) & (place[2] >= 0)
-        return F.when(whole, F.substring(F.lit(CODONS), (place[0] * n + place[1]) * n + place[2] + 1, F.lit(1))).otherwise("X")
+    def letter(codon: Column) -> Column:
+        place = [F.instr(F.lit(CODES), F.substring(codon, k, 1)) - 1 for k in (1, 2, 3)]
+        return F.when((place[0] >= 0) & (place[1] >= 0) & (place[2] >= 0), F.get(amino, (place[0] * n + place[1]) * n + place[2])).otherwise("X")
 
-    codons = F.length(s) - F.length(s) % 3
-    count = (codons / 3).cast("int")
-    return F.when(s.isNotNull(), F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), letter), "")).otherwise(""))
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s).{3}"), F.lit(0)), letter), "")
 
 
 def reverse_complement(sequence: Column | str) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonarium.plans.store import drop_stash, stash
+from clonarium.plans.store import drop_stash, ship, stash
+
+#: Links up to which one task solves the whole table. Its nodes are numbers of 8 bytes or short names, so it takes a few hundred MB at most.
+SMALL = 500_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,15 +33,54 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def least_members(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each node's component, for nodes 0 to n - 1: minima over links, then pointers to pointers, until nothing moves."""
+    least = np.arange(n)
+    while True:
+        before = least
+        least = before.copy()
+        low = np.minimum(before[u], before[v])
+        for ends in (u, v, before[u], before[v]):
+            np.minimum.at(least, ends, low)
+        while True:
+            jumped = least[least]
+            if (jumped == least).all():
+                break
+            least = jumped
+        if (least == before).all():
+            return least
+
+
+def _at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    links = pd.concat(frames)
+    both = links["u"].to_numpy(), links["v"].to_numpy()
+    nodes = np.unique(np.concatenate(both))
+    u, v = (np.searchsorted(nodes, x) for x in both)
+    least = least_members(u, v, len(nodes))
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    for lo in range(0, len(moved), 10_000):
+        some = moved[lo : lo + 10_000]
+        yield pd.DataFrame({"u": nodes[some], "v": nodes[least[some]]})
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (u, v) -> (u, v): each node that is not the smallest of its component, with that smallest node.
 
-    Both steps keep components as they are. Their number grows with the logarithm of the longest path.
+    Nodes are numbers or text. Up to ``SMALL`` links are solved by one task, which is the same result in one job; beyond that by steps that
+    keep components as they are, and whose number grows with the logarithm of the longest path.
     The edge table is written to the shared folder after each round, so a lost executor costs one round at most.
     Hubs: minima are pre-aggregated before the shuffle, and the join back is one that adaptive execution can split.
     """
     edges = stash(links.where("u <> v").select("u", "v").distinct(), "edges")
     before = _state(edges)
+    if before[0] <= SMALL:
+        ship(links.sparkSession)
+        out = stash(edges.coalesce(1).mapInPandas(_at_once, edges.schema), "edges")
+        drop_stash(edges)
+        return out
     while True:
         after = stash(_small_star(_large_star(edges)), "edges")
         now = _state(after)

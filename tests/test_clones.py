@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clonarium.functions import distance as D
 from clonarium.operators import clones as C
@@ -122,12 +123,48 @@ def test_segments_equal_matrix(spark):
             s = s[:i] + rng.choice("ACGT") + s[i + 1 :]
             seqs.add(s)
     df = spark.createDataFrame([(str(i), "IGHV1-1*01", "IGHJ1*01", s) for i, s in enumerate(sorted(seqs))], "sequence_id string, v_call string, j_call string, junction string")
-    for model, t in (("ham", 0.1), ("hh_s1f", 0.08)):
-        a = {r.sequence_id: r.clone for r in C.assign_clones(df, t, model).collect()}
-        b = {r.sequence_id: r.clone for r in C.assign_clones(df, t, model, large=0).collect()}
+    for model, t, linkage in (("ham", 0.1, "single"), ("hh_s1f", 0.08, "single"), ("aa", 0.2, "single"), ("ham", 0.15, "average"), ("hh_s1f", 0.1, "complete")):
+        a = {r.sequence_id: r.clone for r in C.assign_clones(df, t, model, linkage).collect()}
+        b = {r.sequence_id: r.clone for r in C.assign_clones(df, t, model, linkage, large=0).collect()}
         assert a == b and len(set(a.values())) > 5
 
 
+@pytest.mark.parametrize(("model", "norm", "threshold", "length"), [("ham", "len", 0.2, 40), ("mk_rs1nf", "len", 0.1, 70), ("hh_s1f", None, 2.5, 33), ("ham", None, 12.0, 9), ("aa", "len", 0.34, 40)])
+def test_close_pairs_equal_all_pairs(spark, model, norm, threshold, length):
+    rng = random.Random(length)
+    letters = "ACDEFGHIKLMNPQRSTVWY*" if model == "aa" else "ACGT"
+    first = ["".join(rng.choice(letters) for _ in range(length)) for _ in range(12)]
+    seqs = {s for f in first for s in [f, *("".join(c if rng.random() > 0.12 else rng.choice(letters) for c in f) for _ in range(12))]}
+    seqs |= {s[:-1] for s in list(seqs)[:20]}
+    got = {(r.u, r.v): r.distance for r in C.close_pairs(spark.createDataFrame([("p", s) for s in seqs], "pre string, seq string"), model, threshold, norm).collect()}
+    want = {}
+    for n in (length, length - 1):
+        own = sorted(s for s in seqs if len(s) == n)
+        d = D.pairwise(own, D.model(model), norm)
+        want |= {(own[i], own[j]): d[i, j] for i in range(len(own)) for j in range(i + 1, len(own)) if d[i, j] <= threshold}
+    assert set(got) == set(want) and want
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_one_large_group_with_common_ends(spark):
+    """Junctions of one group that share their first and last codons: no segment is one hot key, so candidates stay few."""
+    rng = random.Random(9)
+    seqs = {"TGTGCG" + "".join(rng.choice("ACGT") for _ in range(30)) + "TTCTGG" for _ in range(50_000)}
+    twins = {s[:20] + ("A" if s[20] != "A" else "C") + s[21:] for s in sorted(seqs)[:100]}
+    rows = [("p", s) for s in sorted(seqs | twins)]
+    nodes = spark.createDataFrame(rows, "pre string, seq string").repartition(8)
+    found = {(r.u, r.v) for r in C.close_pairs(nodes, "ham", 0.05, "len").collect()}
+    assert {(min(p), max(p)) for p in ((s, s[:20] + ("A" if s[20] != "A" else "C") + s[21:]) for s in sorted(seqs)[:100])} <= found
+    assert len(found) < 400
+
+
+def test_a_matrix_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST", 3)
+    df = repertoire(spark)
+    with pytest.raises(Exception, match="one distance matrix"):
+        C._by_matrix(df.select(F.lit("p").alias("pre"), F.col("sequence_id").alias("seq")), "ham", 0.1, "average", "len", "avg").collect()
+
+
 def test_sized_and_subsample(spark):
     df = spark.createDataFrame([(str(i), "x" if i < 5 else "y" if i < 7 else "z", i % 2 == 0) for i in range(8)], "sequence_id string, clone string, ok boolean")
     assert {r.clone for r in C.sized(df, 2).collect()} == {"x", "y"} and {r.clone for r in C.sized(df, 2, only=["y", "z"]).collect()} == {"y"}
