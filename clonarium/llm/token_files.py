@@ -173,9 +173,11 @@ class Encoder:
                 out += [x[skip:] for x in np.split(ids, cut[1:])]
         return out
 
-    def _learn(self, code: np.ndarray, parts: list[bytes], solid: np.ndarray) -> None:
+    def _learn(self, code: np.ndarray, parts: list[bytes], solid: np.ndarray, added: bool) -> None:
+        """``added``: whether the text that the parts are from holds an added token."""
         lined = np.array([p[:1] == b"\n" for p in parts], bool)
-        solid = solid & ~np.array([any(x in p for x in self.added) for p in parts], bool)
+        if added:
+            solid = solid & ~np.array([any(x in p for x in self.added) for p in parts], bool)
         ids: list[np.ndarray] = [None] * len(parts)  # type: ignore[list-item]
         for own, before, skip in ((solid & ~lined, b"\n", 1), (solid & lined, b"", 0)):
             at = np.flatnonzero(own)
@@ -223,7 +225,7 @@ class Encoder:
                 lead = space[starts[new]] & ((data[starts[new]] == 32) | (data[starts[new]] == 10)) & (ends[new] - starts[new] > 1)
                 solid = (blanks[ends[new] - 1] - blanks[starts[new]] + space[starts[new]] == lead) & (self.line is not None)
                 raw = data.tobytes()
-                self._learn(distinct[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], solid)
+                self._learn(distinct[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], solid, any(x in raw for x in self.added))
             place = np.searchsorted(self.codes, distinct)[back]
             size, start = self.sizes[place], self.starts[place]
             ids = self.flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
