@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonarium.datasets import REPERTOIRE, repertoire, table
@@ -96,18 +96,20 @@ def parse_delete_regex_all(spark, sf_dir):
     return V.delete(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"], ["BUILD"], logic="all", regex=True).select("c_custkey")
 
 
-def _ranked(df: DataFrame, numeric: bool, descend: bool, field: str) -> DataFrame:
-    return df.select("o_orderkey", F.row_number().over(Window.orderBy(V.sort_key(field, numeric, descend), F.col("o_orderkey"))).cast("long").alias("place"))
+def _sorted(df: DataFrame, numeric: bool, descend: bool, field: str) -> DataFrame:
+    """Places of the rows after a stable sort; ties keep the order of their keys."""
+    rows = V.sort(df.select("o_orderkey", F.col(field).cast("string").alias(field)), field, numeric, descend, order="o_orderkey")
+    return V.place(rows, "place").select("o_orderkey", "place")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders")
 def parse_sort_text(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "orders"), False, False, "o_orderpriority")
+    return _sorted(table(spark, sf_dir, "orders"), False, False, "o_orderpriority")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY cast(o_custkey AS double) DESC, o_orderkey) AS place FROM orders")
 def parse_sort_numeric_desc(spark, sf_dir):
-    return _ranked(table(spark, sf_dir, "orders"), True, True, "o_custkey")
+    return _sorted(table(spark, sf_dir, "orders"), True, True, "o_custkey")
 
 
 _CHAIN = "CASE WHEN x = 'F' THEN 'O' ELSE x END"
@@ -264,6 +266,26 @@ def clone_sizes(spark, sf_dir):
     return _clones(spark, sf_dir).where("passed").groupBy("clone").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clones"))
 
 
+# Each of these groups has one J and one length, so a clone is told by its least junction and the least V of its group.
+_SET_GROUPS = SQL["preclone_set"].split("SELECT root.n AS length")[0]
+
+
+@query(
+    _SET_GROUPS
+    + f""", p AS (SELECT rep.*, root.r AS g, {_GENE('j_call')} AS j, length(junction) AS n FROM rep JOIN root ON root.n = length(junction) AND root.j = {_GENE('j_call')} AND root.v = {_GENE('v_call')}),
+ nodes AS (SELECT DISTINCT g, j, n, junction AS s FROM p WHERE regexp_matches(junction, '^[ACGT]+$')),
+ near AS (SELECT a.g, a.j, a.n, a.s AS a, b.s AS b FROM nodes a JOIN nodes b ON a.g = b.g AND a.j = b.j AND a.n = b.n AND a.s <> b.s WHERE hamming(a.s, b.s) / cast(a.n AS double) <= {THRESHOLD}),
+ walk2 AS (SELECT g, j, n, s, s AS r FROM nodes UNION SELECT near.g, near.j, near.n, near.b, walk2.r FROM walk2 JOIN near ON walk2.g = near.g AND walk2.j = near.j AND walk2.n = near.n AND walk2.s = near.a),
+ top AS (SELECT g, j, n, s, min(r) AS r FROM walk2 GROUP BY 1, 2, 3, 4)
+SELECT p.sequence_id, top.r AS clone_junction, p.g AS least_v, top.r IS NOT NULL AS passed FROM p LEFT JOIN top ON top.g = p.g AND top.j = p.j AND top.n = p.n AND top.s = p.junction"""
+)
+def clones_set(spark, sf_dir):
+    """End to end with the defaults: groups by sets of calls, single linkage, rows with missing letters fail."""
+    df = C.assign_clones(repertoire(spark, sf_dir), THRESHOLD)
+    least = F.array_min(F.split(F.element_at(F.split("pre", r"\|"), 2), ","))
+    return df.select("sequence_id", F.when(F.col("passed"), F.substring_index("clone", "|", -1)).alias("clone_junction"), least.alias("least_v"), "passed")
+
+
 @query()
 def clones_average(spark, sf_dir):
     return _clones(spark, sf_dir, "average").groupBy("pre", "clone", "passed").agg(F.count("*").alias("size"))
@@ -338,7 +360,17 @@ def clone_consensus(spark, sf_dir):
     return L.consensus(_aligned(spark, sf_dir), clone="junction").select(F.col("junction").alias("clone"), F.col("_cons.sequence_id").alias("consensus"), "v_cons")
 
 
-@query()
+# The steps of clone_consensus behind those that it shares with the germlines.
+_CONSENSUS = SQL["clone_consensus"].split(f"al AS ({_ALIGNED}), ", 1)[1]
+_STEPS, _CHOSEN = _CONSENSUS.rsplit("SELECT k.clone, ", 1)
+
+
+@query(
+    _GERM.rstrip() + ", " + _STEPS + f", cons AS (SELECT k.clone, {_CHOSEN}) "
+    "SELECT al.sequence_id, al.sequence_imgt, 9 AS j_germ_length, cons.consensus AS germline_consensus, CASE WHEN judged.germline_error IS NULL THEN upper(concat(vg, 'NN', jg)) END AS germline_dmask, "
+    "CASE WHEN cons.consensus IS NULL THEN 'No sequence found with both consensus V and J calls.' ELSE judged.germline_error END AS germline_error "
+    "FROM al JOIN cons ON cons.clone = al.junction LEFT JOIN judged ON judged.sequence_id = cons.consensus"
+)
 def clonal_germlines(spark, sf_dir):
     out = L.attach_clonal_germlines(_aligned(spark, sf_dir), _references(spark), clone="junction")
     return out.select("sequence_id", "sequence_imgt", "j_germ_length", "germline_consensus", "germline_dmask", "germline_error")
@@ -377,9 +409,10 @@ def first_stop(spark, sf_dir):
     return repertoire(spark, sf_dir).select("sequence_id", S.first_stop("junction").alias("stop"))
 
 
-@query("SELECT o_orderkey, concat(o_orderkey % 9, 'S', o_orderkey % 90 + 1, '=2X') AS cigar, cast(o_orderkey % 9 AS int) AS q_start, cast(o_orderkey % 90 + 3 AS int) AS q_length FROM orders WHERE o_orderkey % 9 > 0")
+@query("SELECT o_orderkey, concat(CASE WHEN o_orderkey % 9 > 0 THEN concat(o_orderkey % 9, 'S') ELSE '' END, o_orderkey % 90 + 1, '=2X') AS cigar, cast(o_orderkey % 9 AS int) AS q_start, cast(o_orderkey % 90 + 3 AS int) AS q_length FROM orders")
 def btop_cigar(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").where("o_orderkey % 9 > 0").select("o_orderkey", F.concat(F.expr("o_orderkey % 90 + 1"), F.lit("AGTC")).alias("btop"), F.expr("cast(o_orderkey % 9 as int)").alias("q"))
+    """Where the alignment starts with the query, no soft clip is put before it."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.expr("o_orderkey % 90 + 1"), F.lit("AGTC")).alias("btop"), F.expr("cast(o_orderkey % 9 as int)").alias("q"))
     df = df.withColumn("a", S.pad_alignment(S.decode_btop("btop"), F.col("q"), F.lit(0))).withColumn("p", S.alignment_positions("a"))
     return df.select("o_orderkey", S.encode_cigar("a").alias("cigar"), F.col("p.q_start").alias("q_start"), F.col("p.q_length").alias("q_length"))
 
@@ -403,19 +436,43 @@ def fasta_export(spark, sf_dir):
     return X.fasta(repertoire(spark, sf_dir), seq="junction", fields=["sample_id", "productive"]).where("passed").select("fasta")
 
 
-@query(_rep("SELECT CASE WHEN row_number() OVER (PARTITION BY sample_id ORDER BY sequence_id) = 1 THEN concat('>>', sample_id, chr(10), v_call, chr(10), '>', sequence_id, chr(10), junction) ELSE concat('>', sequence_id, chr(10), junction) END AS fasta FROM rep"))
+_OWN = "'>', sequence_id, chr(10), junction"
+
+
+@query(_rep(f"SELECT CASE WHEN row_number() OVER (PARTITION BY sample_id ORDER BY sequence_id) = 1 THEN concat('>>', sample_id, chr(10), v_call, chr(10), {_OWN}) ELSE concat({_OWN}) END AS fasta FROM rep"))
 def clonal_fasta(spark, sf_dir):
+    """Records sorted by cluster."""
+    return X.clonal_fasta(repertoire(spark, sf_dir), seq="junction", germline="v_call", cluster="sample_id", order=["sample_id", "sequence_id"]).select("fasta")
+
+
+@query(_rep(f"SELECT CASE WHEN sample_id IS DISTINCT FROM lag(sample_id) OVER (ORDER BY sequence_id) THEN concat('>>', sample_id, chr(10), v_call, chr(10), {_OWN}) ELSE concat({_OWN}) END AS fasta FROM rep"))
+def clonal_fasta_unsorted(spark, sf_dir):
+    """A germline wherever the cluster changes, also back to one that was there before."""
     return X.clonal_fasta(repertoire(spark, sf_dir), seq="junction", germline="v_call", cluster="sample_id", order="sequence_id").select("fasta")
 
 
+@query(_rep(f"SELECT concat('>>', sequence_id, chr(10), v_call, chr(10), {_OWN}) AS fasta FROM rep"))
+def clonal_fasta_by_record(spark, sf_dir):
+    return X.clonal_fasta(repertoire(spark, sf_dir), seq="junction", germline="v_call", order="sequence_id").select("fasta")
+
+
 @query(_rep("SELECT junction, sample_id, cast(sum(1) AS bigint) AS dupcount, min(sequence_id) AS sequence_id FROM rep GROUP BY junction, sample_id"))
 def dup_collapse(spark, sf_dir):
     return T.collapse_exact(repertoire(spark, sf_dir).withColumn("dupcount", F.lit(1)), ["junction", "sample_id"]).select("junction", "sample_id", "dupcount", "sequence_id")
 
 
-@query()
+_STOP = "len(list_filter(range(0, length(junction), 3), lambda i: substr(junction, cast(i AS int) + 1, 3) IN ('TAA', 'TGA', 'TAG', 'TRA', 'TRG', 'TAR', 'TGR', 'TRR'))) > 0"
+_FILLED = "concat(substr(junction, 1, length(junction) - length(junction) % 3), CASE WHEN length(junction) % 3 > 0 THEN 'NNN' ELSE '' END)"
+
+
+@query(
+    _rep(
+        f"SELECT junction AS clone, sequence_id, {_FILLED} AS sequence, CASE WHEN r = 1 THEN n ELSE 1 END AS dupcount, r = 1 AS kept, CASE WHEN r > 1 THEN concat('Duplication of ', lead_id) END AS fail_reason, cast(1 AS int) AS clone_size FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY junction ORDER BY sequence_id) AS r, count(*) OVER (PARTITION BY junction) AS n, min(sequence_id) OVER (PARTITION BY junction) AS lead_id FROM rep WHERE productive = 'T' AND NOT ({_STOP}))"
+    )
+)
 def lineage_input(spark, sf_dir):
-    """Codon masking and clone alignment over the repertoire, each junction a clone."""
+    """Codon masking and clone alignment over the repertoire, each junction a clone: an incomplete last codon is masked, duplicates are merged."""
     df = repertoire(spark, sf_dir).select("sequence_id", "v_call", "j_call", "junction", F.col("junction").alias("clone"), (F.col("productive") == "T").alias("functional"), F.length("junction").alias("junction_length"), F.lit(1).alias("v_seq_start"))
     df = df.withColumn("sequence_input", F.concat(F.col("junction"), F.lit("GGCCAA"))).withColumn("sequence_imgt", F.concat(F.substring("junction", 1, 9), F.lit("..."), F.expr("substring(junction, 10)")))
     df = df.withColumn("germline_imgt_d_mask", F.concat(F.substring("junction", 1, 9), F.lit("..."), F.expr("repeat('N', length(junction) - 9)")))

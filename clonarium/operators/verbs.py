@@ -78,18 +78,19 @@ def sort(df: DataFrame, field: str, numeric: bool = False, descend: bool = False
     return df.orderBy(sort_key(field, numeric, descend), F.col(order).asc())
 
 
-def index(df: DataFrame, field: str = "INDEX", order: str | list[str] = ROW) -> DataFrame:
-    """A running number from 1 in the order of ``order``, without bringing all rows into one task: a range sort, counts
-    by partition, and numbers within each."""
-    names = [order] if isinstance(order, str) else order
-    parts = df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__part", F.spark_partition_id())
-    # Range bounds are sampled anew each time a plan runs; written down, counts and numbers see the same partitions.
-    kept = stash(parts, "index")
-    counts = kept.groupBy("__part").count()
+def place(df: DataFrame, field: str) -> DataFrame:
+    """A running number from 1 in the rows' present order (after ``sort``, say), without bringing all rows into one task: rows are written
+    as they stand, and numbers are counts of the partitions before and places within each."""
+    kept = stash(df.withColumn("__part", F.spark_partition_id()).withColumn("__nth", F.monotonically_increasing_id()), "index")
+    counts = kept.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__nth").alias("__first"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    counts = counts.select("__part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*names))
-    return kept.withColumn("__nth", nth).join(counts, "__part").withColumn(field, F.col("__ahead") + F.col("__nth")).drop("__part", "__nth", "__ahead")
+    counts = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    return kept.join(counts, "__part").withColumn(field, F.col("__ahead") + F.col("__nth") - F.col("__first") + 1).drop("__part", "__nth", "__ahead", "__first")
+
+
+def index(df: DataFrame, field: str = "INDEX", order: str | list[str] = ROW) -> DataFrame:
+    """A running number from 1 in the order of ``order``: a range sort, then ``place``."""
+    return place(df.orderBy(*([order] if isinstance(order, str) else order)), field)
 
 
 def merge(frames: list[DataFrame], drop: bool = False) -> DataFrame:

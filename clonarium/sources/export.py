@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clonarium.functions import genes as G
 from clonarium.functions import sequences as S
+from clonarium.plans.store import stash
 
 #: Letters of a line.
 WIDTH = 60
@@ -33,20 +34,27 @@ def write_fasta(df: DataFrame, path: str, **options) -> None:
 
 
 def clonal_fasta(df: DataFrame, ident: str = "sequence_id", seq: str = "sequence_alignment", germline: str = "germline_alignment_d_mask", cluster: str | None = None, fields: list[str] | None = None, order: str | list[str] = "_row") -> DataFrame:
-    """(order.., fasta): each sequence, and before the first of each run of a cluster its germline under ``>>``. Without a cluster column a
-    run is of equal germlines. Rows must come sorted by cluster in ``order``. An empty germline raises.
+    """(order.., fasta): each sequence in the order of ``order``, with germlines under ``>>`` before. Without a cluster column every record is
+    preceded by its own germline, under its own header; with one a germline, under the cluster's name, stands wherever the cluster
+    differs from that of the record before (or there is none before). An empty germline raises.
 
-    The row before is looked up within the cluster's range only, so that no task sorts all rows: a row starts a run if it is the first of its
-    cluster, or the row before it in the whole order is of another one. Clusters of a sorted table are one run each.
+    No task sorts all rows: records are range sorted and written; within a partition a record looks at the one before it, and the
+    first of a partition at the last of the partitions before, of which there is one row each.
     """
     keys = [order] if isinstance(order, str) else order
-    run = F.col(cluster) if cluster else F.col(germline)
-    first = F.row_number().over(Window.partitionBy(run).orderBy(*keys)) == 1
     text = F.coalesce(F.nullif(F.col(germline), F.lit("")), F.raise_error(F.concat(F.lit("no germline for "), F.col(ident))).cast("string"))
     head = S.make_header(ident, {f: F.col(f) for f in fields or []})
-    name = S.make_header(F.concat(F.lit("GERM") if cluster is None else F.col(cluster).cast("string")), {})
     own = F.concat(F.lit(">"), head, F.lit("\n"), wrap(seq))
-    return df.withColumn("_first", first).select(*keys, F.when(F.col("_first"), F.concat(F.lit(">>"), name, F.lit("\n"), wrap(text), F.lit("\n"), own)).otherwise(own).alias("fasta"))
+    under = lambda name: F.concat(F.lit(">>"), name, F.lit("\n"), wrap(text), F.lit("\n"), own)
+    if cluster is None:
+        return df.select(*keys, under(head).alias("fasta"))
+    kept = stash(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    ends = kept.groupBy("_part").agg(F.max_by(F.struct(F.col(cluster).alias("c")), F.struct(*keys)).alias("_last"))
+    ends = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))  # one row for each partition
+    by = Window.partitionBy("_part").orderBy(*keys)
+    d = kept.withColumn("_before", F.lag(F.struct(F.col(cluster).alias("c"))).over(by)).join(ends, "_part").withColumn("_before", F.coalesce("_before", "_last"))
+    new = F.col("_before").isNull() | ~F.col("_before.c").eqNullSafe(F.col(cluster))
+    return d.select(*keys, F.when(new, under(S.make_header(F.coalesce(F.col(cluster).cast("string"), F.lit("")), {}))).otherwise(own).alias("fasta"))
 
 
 _FEATURE = "struct<start:string,end:string,key:string,qualifiers:array<struct<key:string,value:string>>>"

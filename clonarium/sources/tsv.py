@@ -13,7 +13,8 @@ EXTENSIONS = (".tab", ".tsv", ".txt")
 
 
 def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All columns as text, empty cells as empty text, and ``_row``: (file, offset of the split, row in it), which sorts as the files do.
+    """All columns as text, empty cells as empty text, and ``_row``: (place in the list, file name, offset of the split, row in it), which sorts as the
+    files do; those of a folder by name.
 
     Several files must have the same header; use ``merge`` for others. Short rows are filled with empty cells.
     """
@@ -22,7 +23,7 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for i, path in enumerate(paths):
         df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         names = df.columns
-        df = df.select("*", F.struct(F.lit(i).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias(ROW))
+        df = df.select("*", F.struct(F.lit(i).alias("nth_path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias(ROW))
         df = df.fillna("", subset=names)
         out = df if out is None else out.unionByName(df)
     if out is None:

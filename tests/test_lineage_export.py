@@ -90,6 +90,19 @@ def test_clonal_fasta(spark):
     assert [r.fasta for r in X.clonal_fasta(df, cluster="clone").orderBy("_row").collect()] == [">>c1\nGG\n>a\nAA", ">b\nAC", ">>c2\nCC\n>c\nTT"]
 
 
+def test_clonal_fasta_of_unsorted_clusters_and_without_a_cluster(spark):
+    rows = [(f"r{i}", "AC", f"G{'ACGT'[i % 4]}", None if i % 11 == 0 else f"c{i // 3 % 4}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "sequence_id string, sequence_alignment string, germline_alignment_d_mask string, clone string, _row int").repartition(5)
+    got = [r.fasta for r in X.clonal_fasta(df, cluster="clone").orderBy("_row").collect()]
+    before = object()
+    for (name, seq, germ, clone, _), text in zip(rows, got, strict=True):
+        lead = f">>{clone or ''}\n{germ}\n" if clone != before else ""
+        assert text == f"{lead}>{name}\n{seq}"
+        before = clone
+    alone = [r.fasta for r in X.clonal_fasta(df, fields=["clone"]).orderBy("_row").collect()]
+    assert alone == [f">>{n}|CLONE={c or ''}\n{g}\n>{n}|CLONE={c or ''}\n{s}" for n, s, g, c, _ in rows]
+
+
 def test_feature_table(spark):
     seq = "NN" + "A" * 30 + "TGTGCGAGAGGTTGG" + "C" * 20 + "GGG"
     cells = {"sequence_id": "s1 more", "sequence_input": seq, "v_call": "IGHV1-1*01", "d_call": None, "j_call": "IGHJ1*02", "v_seq_start": 3, "v_seq_length": 32, "d_seq_start": None, "d_seq_length": None, "j_seq_start": 43, "j_seq_length": 25, "junction_start": 33, "junction_end": 47, "n": "7"}
