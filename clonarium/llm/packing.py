@@ -2,26 +2,33 @@
 
 The plan is made on the histogram of piece lengths: items of equal length and bins of equal contents are handled as groups, so
 the driver's work and memory depend on the largest permitted length, not on the number of documents. Each group then gets its
-items by their rank among the pieces of a length.
+items by their rank among the pieces of a length, and each bin's tokens are put together.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonarium.llm.mixing import size_of
-from clonarium.plans.store import stash
+from clonarium.llm.mixing import BLANKS
+from clonarium.plans.store import ship, stash
 
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a bin costs besides its length: the fixed part of a step for one sequence.
 OVERHEAD = 16
-#: Parts that the pieces of each length are ranked in.
-RANKS = 64
+#: Pieces that a task ranks, about.
+PART = 50_000
+#: Runs of ranks that are broadcast at once: 48 bytes each.
+RUNS = 500_000
+#: Beyond any rank.
+RANK = 1 << 44
 
 
 def cost(capacity: int) -> int:
@@ -72,15 +79,15 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES) ->
                 capacity, bins, contents = space[room].pop()
                 if not space[room]:
                     spaces.pop(at)
-                use = min(bins, count)
+                # The bin with the least space takes items until none fits, then the next one does.
+                each = room // n
+                use = min(bins, count // each)
+                if not use:
+                    use, each = 1, count
                 if use < bins:
                     put(room, capacity, bins - use, contents)
-                if contents and contents[-1][0] == n:
-                    contents = (*contents[:-1], (n, contents[-1][1] + 1))
-                else:
-                    contents = (*contents, (n, 1))
-                put(room - n, capacity, use, contents)
-                count -= use
+                put(room - each * n, capacity, use, (*contents, (n, each)))
+                count -= use * each
                 left[n] = count
             else:
                 best = min((c for c in caps if c >= n), key=lambda c: (cost(c) / (n + _lookahead(c - n, ascending, left, n)), -c))
@@ -99,56 +106,94 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES) ->
     return sorted(out, key=lambda g: (-g[0], g[2]))
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, size: Column | None = None, id_col: str = "doc_id") -> DataFrame:
-    """One row for each piece: id, piece (from 0), start and length (tokens of the document), bin, capacity, offset (place in the bin).
+def word_ids(text: str = "text") -> Column:
+    """A document as numbers: a hash of each word (runs without white space), 1 at least, and 0 as its end. Stands in for a tokenizer's ids."""
+    bare = F.btrim(F.col(text).cast("string"), F.lit(BLANKS))
+    words = F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    return F.concat(F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit((1 << 31) - 2)) + 1).cast("int")), F.array(F.lit(0)))
 
-    ``size`` gives a document's tokens; by default its words without white space and one end mark, so no document is empty (null or empty
-    text: 1). Documents longer than the largest capacity are cut into pieces of that size and a rest; nothing is dropped.
 
-    * Repeated rows are documents of their own; which of their equal places is whose does not matter. Null ids are packed like others.
-    * Ties: pieces of a length go to bins in the order of a hash of their id, then id and piece.
-    * An empty table gives an empty result. Only the histogram of lengths (the largest capacity bounds it) reaches the driver.
+def _assign(runs):
+    """Rows of pieces with their rank among those of a length -> bin, capacity and offset. Runs of ranks are looked up by binary search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lo, each, first, capacity, at = runs.value
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            i = np.searchsorted(keys, length * RANK + rank, "right") - 1
+            nth = rank - lo[i]
+            made = {"bin": first[i] + nth // each[i], "capacity": capacity[i].astype(np.int32), "offset": (at[i] + nth % each[i] * length).astype(np.int32)}
+            kept = [c for c in batch.schema.names if c != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *map(pa.array, made.values())], names=[*kept, *made])
+
+    return run
+
+
+def place_pieces(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each piece: id, piece (from 0), start and length (tokens of the document), tokens, bin, capacity, offset (place in the bin).
+
+    ``tokens`` gives a document's ids as an array of int; by default ``word_ids``. Documents longer than the largest capacity are cut into
+    pieces of that size and a rest; nothing is dropped. See ``pack`` for the cases.
     """
     spark = docs.sparkSession
+    ship(spark)
     most = max(capacities)
-    n = (size if size is not None else size_of() + 1).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(n, F.lit(0)).alias("n")).where("n > 0")
-    pieces = rows.select("id", F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {most}), i -> named_struct('start', i * {most}, 'length', least({most}, n - i * {most})))")).alias("piece", "x")).select("id", "piece", "x.*")
-    # A length may hold most of the pieces: it is ranked in parts, whose counts are added up.
-    pieces = stash(pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(RANKS))), "pieces")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), (tokens if tokens is not None else word_ids(f"`{text_col}`")).alias("t"))
+    cut = F.expr(f"transform(sequence(0, (size(t) - 1) div {most}), i -> named_struct('start', i * {most}, 'tokens', slice(t, i * {most} + 1, {most})))")
+    pieces = rows.where("size(t) > 0").select("row", "id", F.posexplode(cut).alias("piece", "x")).select("row", "id", "piece", "x.*").withColumn("length", F.size("tokens"))
+    pieces = stash(pieces.withColumn("place", F.xxhash64("id", "piece", "tokens")), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    bins = plan(histogram, capacities)
+
+    # A length may hold most of the pieces: they are ranked in parts, by ranges of their place, whose number grows with the length's pieces.
+    parts = F.get(F.split(F.lit(" ".join(str(-(-histogram.get(n, 0) // PART) or 1) for n in range(most + 1))), " "), F.col("length")).cast("int")
+    pieces = pieces.withColumn("part", F.floor((F.col("place") / F.lit(float(1 << 64)) + 0.5) * parts).cast("int"))
     counts = pieces.groupBy("length", "part").count()
-    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     counts = stash(counts.withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0))), "counts")
-    histogram = {r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("count").alias("c")).collect()}
+    order = Window.partitionBy("length", "part").orderBy("place", "id", "piece", "row")
+    # Counts are dealt as the ranked pieces are, so the join moves none of them.
+    ranked = pieces.withColumn("nth", F.row_number().over(order) - 1).join(counts.select("length", "part", "before").hint("merge"), ["length", "part"])
+    ranked = ranked.select("id", F.col("piece").cast("int").alias("piece"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("tokens").cast("array<int>").alias("tokens"), (F.col("nth") + F.col("before")).cast("long").alias("rank"))
 
     given: dict[int, int] = defaultdict(int)
     first = 0
-    shares = []
-    for capacity, bins, contents in plan(histogram, capacities):
+    runs = []
+    for capacity, number, contents in bins:
         at = 0
         for length, each in contents:
-            shares.append((length, given[length], given[length] + bins * each, each, first, capacity, at))
-            given[length] += bins * each
+            runs.append((length, given[length], each, first, capacity, at))
+            given[length] += number * each
             at += length * each
-        first += bins
-    shares = spark.createDataFrame(shares, "length long, lo long, hi long, each long, first long, capacity int, at long")
-    shares = stash(shares, "shares")
-
-    order = Window.partitionBy("length", "part").orderBy(F.xxhash64("id"), F.col("id").isNull(), "id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(counts.select("length", "part", "before").hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # Shares of a length are consecutive runs of ranks. Each piece finds its run by the run's number, which an array of run starts gives.
-    runs = shares.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "each", "first", "capacity", "at"))).alias("runs"))
-    runs = runs.withColumn("starts", F.transform("runs", lambda r: r["lo"]))
-    # Runs are many for a large table: no broadcast.
-    met = ranked.join(runs.hint("merge"), "length").withColumn("run", F.expr("runs[size(filter(starts, s -> s <= rank)) - 1]")).drop("runs", "starts")
-    out = met.withColumn("nth", F.expr("rank - run.lo"))
-    result = out.select(
-        F.col("id").alias(id_col),
-        F.col("piece").cast("int").alias("piece"),
-        "start",
-        "length",
-        F.expr("run.first + nth div run.each").alias("bin"),
-        F.col("run.capacity").alias("capacity"),
-        F.expr("run.at + (nth % run.each) * length").alias("offset"),
-    )
-    return result
+        first += number
+    runs.sort()
+    schema = f"id {pieces.schema['id'].dataType.simpleString()}, piece int, start long, length long, tokens array<int>, bin long, capacity int, offset int"
+    out = None
+    for lo in range(0, max(len(runs), 1), RUNS):
+        # Runs are broadcast, RUNS of them at a time; a length's runs may be in two of these, and then its ranks tell which.
+        some = runs[lo : lo + RUNS]
+        table = np.array(some, np.int64).reshape(-1, 6).T
+        model = spark.sparkContext.broadcast((table[0] * RANK + table[1], *table[1:]))
+        key = F.col("length") * RANK + F.col("rank")
+        own = ranked
+        if lo:
+            own = own.where(key >= some[0][0] * RANK + some[0][1])
+        if lo + RUNS < len(runs):
+            own = own.where(key < runs[lo + RUNS][0] * RANK + runs[lo + RUNS][1])
+        made = own.mapInArrow(_assign(model), schema)
+        out = made if out is None else out.unionAll(made)
+    return out
+
+
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each bin: bin, capacity, used, the ids, pieces, starts and lengths of what is in it, and its tokens, one piece behind the other.
+
+    * Null or empty text: just the end mark. A document whose ``tokens`` are null or empty has no piece. Null ids are packed like others.
+    * Repeated rows are documents of their own. Ties: pieces of a length go to bins in the order of a hash of id, piece and tokens.
+    * An empty table gives an empty result. Only the histogram of lengths (the largest capacity bounds it) reaches the driver.
+    """
+    placed = place_pieces(docs, capacities, tokens, id_col, text_col)
+    one = F.struct("offset", "id", "piece", "start", "length", "tokens")
+    bins = placed.groupBy("bin", "capacity").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    each = lambda c: F.transform("x", lambda p: p[c])
+    return bins.select("bin", "capacity", F.size(F.flatten(each("tokens"))).alias("used"), each("id").alias(f"{id_col}s"), each("piece").alias("pieces"), each("start").alias("starts"), each("length").alias("lengths"), F.flatten(each("tokens")).alias("tokens"))

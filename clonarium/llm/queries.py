@@ -63,9 +63,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from clonarium.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).withColumn("digest", F.xxhash64("tokens")).drop("tokens")
 
 
 @query

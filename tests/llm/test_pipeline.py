@@ -4,11 +4,11 @@ from collections import Counter
 
 import corpus_pipeline
 from clonarium.llm.mixing import mix
-from clonarium.llm.packing import CAPACITIES
+from clonarium.llm.packing import CAPACITIES, word_ids
 from clonarium.llm.quality import assess
-from tests.llm.fixtures import corpus, words
+from tests.llm.fixtures import corpus
 from tests.llm.test_ngram_join import brute
-from tests.llm.test_packing import check
+from tests.llm.test_packing import check, cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,13 +31,7 @@ def test_stages_take_effect_in_turn(spark, tmp_path):
     assert {d for d in ids(single) if d is not None} == {c for d, _, c in brute(have, 5, 4, 5) if d is not None}
     assert ids(mixed) == Counter({r.doc_id: len(r.shards) for r in mix(single).collect() if len(r.shards) and r.doc_id is not None})
     rows = packed.collect()
-    check(rows, CAPACITIES)
-    want = Counter()
-    for r in mixed.collect():
-        want[r.doc_id] += len(words(r.text)) + 1
-    have = Counter()
-    for r in rows:
-        have[r.doc_id] += r.length
-    assert have == want
+    ids_of = [(r.doc_id, r.t) for r in mixed.select("doc_id", word_ids().alias("t")).collect()]
+    assert check(rows, CAPACITIES) == cut(ids_of, max(CAPACITIES))
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
