@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonarium.llm import _kernels as K
-from clonarium.plans.store import drop_stash, partitions, release, ship, stash
+from clonarium.plans.store import drop_stash, partitions, ship, stash
 from clonarium.plans.components import components
 
 U = np.uint64
 #: 64-bit words of the folded sketch that the Hamming filter compares.
 FOLD = 16
+#: Repeated ids up to which their table is broadcast.
+FEW = 100_000
 #: Signatures that a task holds before it sorts and emits them.
 HELD = 750_000
 
@@ -33,10 +35,12 @@ HELD = 750_000
 SMALL = 32
 #: Pairs of different components that a bucket has for each of its rows, on average, before they are compared one by one.
 CROSS = 4
+#: Rows of a bucket that are compared with each other in one place; those of a larger bucket are dealt into parts, and pairs of parts are dealt to tasks.
+BLOCK = 4096
 
 _META, _SIGNATURE, _PAIR = 0, 1, 2
-_SIGN_SCHEMA = "kind tinyint, route long, key long, a long, b long, n long"
-_SIGN_ARROW = pa.schema([("kind", pa.int8()), ("route", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_SIGN_SCHEMA = "kind tinyint, key long, a long, b long, n long"
+_SIGN_ARROW = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 _STORE_SCHEMA = "id long, n long, " + ", ".join(f"s{i} long" for i in range(FOLD)) + ", ztext binary"
 
 
@@ -113,10 +117,9 @@ def _signatures(row: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: in
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def _emit(kind: int, route: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
-    as_long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    size = len(key)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), *map(as_long, (route, key, a, b, np.zeros(size, np.int64) if n is None else n))], schema=_SIGN_ARROW)
+def _emit(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    as_long = lambda x: pa.nulls(len(key), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *map(as_long, (key, a, b, n))], schema=_SIGN_ARROW)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -135,11 +138,11 @@ def _sign(k: int, num: int, den: int, lower: bool):
         a, key = a[order], key[order]
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
-        yield from _slices(_emit(_SIGNATURE, key[lead], key[lead], a[lead], a[lead]))
+        yield from _slices(_emit(_SIGNATURE, key[lead], a[lead]))
         pivot = a[np.flatnonzero(lead)][np.cumsum(lead) - 1]
         rest = ~lead & (pivot != a)
         if rest.any():
-            yield from _slices(_emit(_PAIR, K.mix(key[rest] ^ a[rest].astype(U), 9), key[rest], pivot[rest], a[rest]))
+            yield from _slices(_emit(_PAIR, key[rest], pivot[rest], a[rest]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -156,7 +159,7 @@ def _sign(k: int, num: int, den: int, lower: bool):
                     at_row = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                     one[full], two[full] = np.add.reduceat(K.mix(h, 10), at_row), np.add.reduceat(K.mix(h, 11), at_row)
                 own = doc[lo:hi]
-                yield _emit(_META, K.mix(own.astype(U), 12), one, own, two, n)
+                yield _emit(_META, one, own, two, n)
                 # Equal sets within the task: the smallest id stands for them in the join.
                 order = np.lexsort((own, two, one))
                 head = np.ones(len(order), bool)
@@ -186,7 +189,7 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keep.all():
             continue
         part = batch.filter(pa.array(~keep))
-        key, a = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        key, a = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
         firsts = a[lead]
@@ -197,7 +200,7 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(key[-1]), int(pivot[-1])
         rest = pivot != a
         if rest.any():
-            yield _emit(_PAIR, key[rest], key[rest], pivot[rest], a[rest])
+            yield _emit(_PAIR, key[rest], pivot[rest], a[rest])
 
 
 def _keep_text(k: int, lower: bool):
@@ -247,6 +250,21 @@ def _verify(k: int, num: int, den: int, lower: bool):
     return run
 
 
+def left_over(rows: DataFrame, sketches: DataFrame, close: str) -> DataFrame:
+    """Pairs (``here``, ``there``) of rows of a bucket (key, c, id, comp) that lie in different components and pass the filter.
+
+    A bucket of more than ``BLOCK`` rows is dealt into parts of about that size, and each row goes to the pairs of parts that its own is in: a
+    task compares two parts, however large the bucket. Comparisons are conditions of the join; only pairs that pass come out of it.
+    """
+    d = rows.join(sketches, "id").withColumn("parts", F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int"))
+    d = d.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    first = d.withColumn("other", F.explode(F.expr("sequence(part, parts - 1)"))).withColumn("lo", F.col("part")).withColumn("hi", F.col("other"))
+    second = d.withColumn("other", F.explode(F.expr("sequence(0, part)"))).withColumn("lo", F.col("other")).withColumn("hi", F.col("part"))
+    # Within a part, a pair counts once; between parts, the one side is of the lower part.
+    once = "(here.lo < here.hi or here.id < there.id)"
+    return first.alias("here").join(second.alias("there"), F.expr(f"here.key = there.key and here.lo = there.lo and here.hi = there.hi and {once} and here.comp <> there.comp and {close}"))
+
+
 def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups documents whose sets of ``k``-word shingles have a Jaccard similarity of num/den or more.
 
@@ -268,8 +286,9 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     parts = partitions(spark)
 
     signed = known.mapInArrow(_sign(k, num, den, lower), _SIGN_SCHEMA)
-    paired = stash(signed.repartition(parts, "route").sortWithinPartitions("kind", "key", "a").mapInArrow(_pair_up, _SIGN_SCHEMA), "pairs")
-    release(spark)
+    # Signatures meet by their key; other rows are spread.
+    route = F.when(F.col("kind") == _SIGNATURE, F.col("key")).otherwise(F.xxhash64("key", "a", "b"))
+    paired = stash(signed.repartition(parts, route).sortWithinPartitions("kind", "key", "a").mapInArrow(_pair_up, _SIGN_SCHEMA), "pairs")
 
     meta = paired.where(F.col("kind") == _META).select(F.col("a").alias("id"), "n", F.col("key").alias("h1"), F.col("b").alias("h2"))
     classes = meta.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
@@ -285,7 +304,6 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     first = shared.where(sizes).select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
     ids = shared.select(F.col("ra").alias("id")).unionAll(shared.select(F.col("rb").alias("id"))).distinct()
     store = stash(known.join(ids, "id").mapInArrow(_keep_text(k, lower), _STORE_SCHEMA), "store")
-    release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = store.select(F.col("id").alias("u"), F.col("ztext").alias("x")).distinct()
@@ -295,7 +313,6 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
 
     same = stands.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     tested, links = [first], [stash(verified(first), "links")]
-    release(spark)
     group = components(links[0])
     members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct(), "members")
     sketches = store.drop("ztext").distinct()
@@ -323,12 +340,10 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
         tested.append(pairs)
         links.append(stash(verified(pairs), "links"))
         drop_stash(rows)
-        release(spark)
         before, group = group, components(group.unionAll(links[-1]))
         drop_stash(before)
-    left_over = rows.join(sketches, "id")
-    near = left_over.alias("here").join(left_over.alias("there"), F.expr(f"here.key = there.key and here.id < there.id and here.comp <> there.comp and {close('here', 'there')}"))
-    later = near.select(F.col("here.id").alias("u"), F.col("there.id").alias("v")).distinct()
+    near = left_over(rows, sketches, close("here", "there"))
+    later = near.select(F.least("here.id", "there.id").alias("u"), F.greatest("here.id", "there.id").alias("v")).distinct()
     for done in tested:
         later = later.join(done, ["u", "v"], "left_anti")
     whole = components(group.unionAll(verified(later)).unionAll(same))
@@ -352,12 +367,27 @@ def _sizes(k: int, lower: bool):
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group, the row with the smallest id stays.
+    """The rows of ``docs`` without near duplicates: of each group, the document with the smallest id stays.
 
-    Rows that repeat an id are one document: one of them stays. Rows with a null id stay all.
+    Rows that repeat an id are documents of their own where their texts differ (the one with the smaller hash of id and text goes first); of
+    rows with equal id and text one stays, by a hash of its other columns. So it is with null ids, which come after all others.
     """
-    found = similar_sets(docs, k, num, den, id_col=id_col, text_col=text_col).where(f"{id_col} <> component_id").select(id_col).distinct()
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    rest = docs.join(found, id_col, "left_anti")
-    single = rest.join(repeated, id_col, "left_anti")
-    return single.unionByName(rest.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    twice = stash(ids.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("_id")), "repeated")
+    number = twice.limit(FEW + 1).count()
+    if not number:
+        found = similar_sets(docs, k, num, den, id_col=id_col, text_col=text_col).where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("_id"))
+        return docs.join(found, F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = doc.select("doc", F.col(f"doc.`{id_col}`").cast("long").alias("id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(twice) if number <= FEW else twice, F.col("id").eqNullSafe(F.col("_id")), "left").withColumn("again", F.col("_id").isNotNull() | F.col("id").isNull()).drop("_id")
+    rows = rows.withColumn("node", F.when(F.col("again"), F.xxhash64("id", "text")).otherwise(F.col("id")))
+    group = similar_sets(rows.select("node", "text"), k, num, den, id_col="node").distinct().select("node", "component_id")
+    place = F.struct(F.col("id").isNull(), "id", "node")
+    named = stash(rows.select("id", "node").distinct().join(group, "node"), "named")
+    first = named.groupBy("component_id").agg(F.min(place).alias("p")).select("p.node", F.lit(True).alias("stays"))
+    gone = named.select("node").distinct().join(first, "node", "left_anti").select(F.col("node").alias("_node"))
+    rest = rows.join(gone, F.col("node") == F.col("_node"), "left_anti")
+    single = rest.where("not again").select("doc.*")
+    some = rest.where("again").groupBy("node", "id", "text").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return single.unionByName(some.select("doc.*"))

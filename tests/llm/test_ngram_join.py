@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from clonarium.llm.ngram_join import _signatures, bands, keep_one, similar_sets
+from clonarium.llm import ngram_join
+from clonarium.llm.ngram_join import SMALL, _signatures, bands, keep_one, similar_sets
 from tests.llm.fixtures import SCHEMA, corpus, lower, words
 
 
@@ -76,6 +78,53 @@ def test_parts_exceed_the_largest_difference(num, den):
         assert parts[np.searchsorted(first, u, "right") - 1] > worst
 
 
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_untouched_parts_of_large_sketches_are_hardly_ever_all_empty(num, den):
+    """Similar sets agree in the parts that no differing shingle touches. In sketches of more than SMALL parts these count only if some
+    shingle is in them; the chance that none is, for the smallest sets and their largest difference."""
+    first, parts = bands(num, den)
+    at = int(np.argmax(parts > SMALL))
+    n, t = int(first[at]), int(parts[at])
+    worst = max(2 * n - 2 * i for i in range(n + 1) if den * i >= num * (2 * n - i))
+    touched = np.zeros(worst + 1)
+    touched[0] = 1.0
+    for _ in range(worst):
+        k = np.arange(worst + 1)
+        touched = touched * k / t + np.r_[0, (touched * (t - k) / t)[:-1]]
+    common = n - worst // 2
+    assert float((touched * (np.arange(worst + 1) / t) ** common).sum()) < 1e-15
+
+
+def test_left_over_pairs_of_a_large_bucket_are_dealt_to_many_places(spark, monkeypatch):
+    """One bucket of rows that drift: each links with its neighbours only. Every pair is compared once, in parts of few rows."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    n = 300
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.lit(n).cast("long").alias("c"), "id", F.col("id").alias("comp"))
+    sketches = spark.range(n).select("id", F.lit(1).alias("n"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(ngram_join.FOLD)])
+    got = ngram_join.left_over(rows, sketches, "abs(here.id - there.id) <= 3")
+    pairs = [tuple(sorted(x)) for x in got.select("here.id", "there.id").collect()]
+    assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 4))]
+    # No place holds more than two parts.
+    seen = got.groupBy("here.lo", "here.hi").agg(F.countDistinct("here.id").alias("rows")).agg(F.max("rows")).first()[0]
+    assert seen <= 3 * 16
+
+
+@pytest.mark.parametrize(("num", "den"), [(4, 5)])
+def test_a_hot_bucket_that_pivots_do_not_resolve(spark, monkeypatch, num, den):
+    """Texts that share a passage but are unlike otherwise meet in hot buckets; those that drift are linked all the same."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "CROSS", 10**9)
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for i in range(60):
+        own = [f"w{i}x{j}" for j in rng.integers(0, 10**6, 12)]
+        rows.append((i, " ".join(passage + own), "a"))
+        rows.append((1000 + i, " ".join([*passage, *own[:-1], "end"]), "a"))
+    got = sorted((tuple(r) for r in similar_sets(spark.createDataFrame(rows, SCHEMA), 3, num, den).collect()), key=str)
+    assert got == brute(rows, 3, num, den)
+
+
 def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -84,3 +133,14 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     ids = [r.doc_id for r in kept.where("doc_id is not null").collect()]
     assert len(ids) == len(set(ids)) and set(ids) == {c for d, _, c in brute(rows, 5, 4, 5) if d is not None}
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_keep_one_tells_rows_by_their_texts_where_ids_repeat(spark):
+    prose = lambda i, n=40: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(1, prose(1), "a"), (5, prose(1), "b"), (5, prose(2), "c"), (5, prose(2), "c"), (5, prose(2), "d"), (7, prose(2) + " tail", "e"), (None, prose(3), "f"), (None, prose(3), "f"), (None, prose(1), "g"), (None, None, "h"), (9, prose(3), "i"), (2, prose(4), "j"), (2, prose(5), "k")]
+    want = [(1, prose(1)), (5, prose(2)), (None, None), (9, prose(3)), (2, prose(4)), (2, prose(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = keep_one(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+    again = keep_one(docs.repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
