@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -80,15 +78,6 @@ def drop_stash(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished jobs removed now. Spark does so once the driver's JVM has collected the jobs' plans; in a long
-    operator that may be late, and files of all its steps would lie side by side."""
-    for _ in range(2):  # proxies of the driver's Python go first, then what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
