@@ -23,8 +23,8 @@ from clonarium.plans.store import ship, stash
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a bin costs besides its length: the fixed part of a step for one sequence.
 OVERHEAD = 16
-#: Pieces that a task ranks, about.
-PART = 50_000
+#: Pieces that a task ranks, and their tokens, about.
+PART, PART_TOKENS = 5_000, 1 << 22
 #: Runs of ranks that are broadcast at once: 48 bytes each.
 RUNS = 500_000
 #: Beyond any rank.
@@ -146,7 +146,7 @@ def place_pieces(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, toke
     bins = plan(histogram, capacities)
 
     # A length may hold most of the pieces: they are ranked in parts, by ranges of their place, whose number grows with the length's pieces.
-    parts = F.get(F.split(F.lit(" ".join(str(-(-histogram.get(n, 0) // PART) or 1) for n in range(most + 1))), " "), F.col("length")).cast("int")
+    parts = F.get(F.split(F.lit(" ".join(str(max(1, -(-histogram.get(n, 0) // PART), histogram.get(n, 0) * n // PART_TOKENS)) for n in range(most + 1))), " "), F.col("length")).cast("int")
     pieces = pieces.withColumn("part", F.floor((F.col("place") / F.lit(float(1 << 64)) + 0.5) * parts).cast("int"))
     counts = pieces.groupBy("length", "part").count()
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
