@@ -75,6 +75,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 #: Bits of a document's place in the permutation of its source, and those that one step of the search for a cut looks at.
 PLACE, DIGIT = 48, 8
+#: Words of a written part of a shard, about.
+LANE = 1 << 22
 #: Sources up to which tables with a row for each source are broadcast.
 FEW = 100_000
 
@@ -144,12 +146,13 @@ def _dealt(rows: DataFrame, plan: DataFrame, few: bool, seed: int) -> DataFrame:
 
 
 def _drawn(rows: DataFrame, plan: DataFrame, few: bool, shards: int, seed: int) -> DataFrame:
-    """One row for each copy, dealt to its shard (several tasks share one) and shuffled there: the columns of ``rows``, shard and order."""
+    """One row for each copy, dealt to its shard and shuffled there: the columns of ``rows``, shard and order. A shard has as many parts as its
+    words ask for; which part a copy goes to, and its place there, follow from its order."""
     d = _dealt(rows, plan, few, seed).select(*rows.columns, F.posexplode("shards").alias("nth", "shard"))
     d = d.withColumn("order", F.xxhash64(F.lit(seed + 1), "id", "place", "nth")).drop("nth")
-    spark = rows.sparkSession
-    lanes = max(1, partitions(spark) // shards)
-    return d.repartition(max(shards, partitions(spark)), "shard", F.pmod("order", F.lit(lanes))).sortWithinPartitions("shard", "order")
+    words = plan.agg(F.sum("target")).first()[0] or 0
+    lanes = max(1, -(-partitions(rows.sparkSession) // shards), -int(-words // (shards * LANE)))
+    return d.repartitionById(shards * lanes, (F.col("shard") * lanes + F.pmod("order", F.lit(lanes))).cast("int")).sortWithinPartitions("shard", "order")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, shards: int = 16, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
