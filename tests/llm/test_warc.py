@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from clonarium.llm.warc import VERSION, gzip_candidates, member, plain_candidates, reachable, record, round_trip
+from clonarium.llm.warc import GZIP, VERSION, _pieces, candidates, exits, member, reachable, read_warc, record, round_trip
 
 SCHEMA = "page_id long, url string, html string, digest string"
 
@@ -42,10 +43,42 @@ def test_round_trip(spark, compress):
     assert all(r.payload == b"" for r in got if r.record_type == "revisit")
 
 
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("split", [3001, 20_000])
+def test_files_of_several_splits(spark, tmp_path, compress, split):
+    """Records, and traps of all kinds, over many splits: also records longer than a split and marks at its borders."""
+    rng = random.Random(split)
+    trap = record(999, "http://trap", b"inner" * 20, "0" * 40, None)
+    gz = gzip.compress(b"no record") + member(trap)
+    rows = []
+    for i in range(60):
+        body = [b"%d " % i + bytes(rng.choices(b"abc \r\n", k=rng.randrange(400))), trap * rng.randrange(4), gz * rng.randrange(2), b"WARC/1.1\r\n" * rng.randrange(3), b"WARC/1.1\r\nContent-Length: 99999\r\n\r\n" * rng.randrange(2), b"\x1f\x8b\x08"]
+        rng.shuffle(body)
+        data = b"".join(body) + (bytes(rng.choices(range(256), k=9000)) if i % 40 == 7 else b"")
+        rows.append((i, f"http://x/{i}/WARC/1.1" if i % 9 == 0 else "http://x", data))
+    archive = b"".join((member if compress else lambda x: x)(record(i, u, d, hashlib.sha1(d).hexdigest(), None)) for i, u, d in rows)
+    (tmp_path / "part-0").write_bytes(archive)
+    (tmp_path / "part-1").write_bytes(b"no archive " + archive)
+    (tmp_path / "part-2").write_bytes(archive[: len(archive) // 2])
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        parts = _pieces(spark, f"file://{tmp_path}", GZIP if compress else VERSION).rdd.getNumPartitions()
+        got = read_warc(spark, f"file://{tmp_path}", compress).collect()
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > 2 * len(archive) // split
+    whole = Counter((r.page_id, r.url, bytes(r.payload)) for r in got)
+    half = sum(1 for end in np.cumsum([len((member if compress else lambda x: x)(record(i, u, d, hashlib.sha1(d).hexdigest(), None))) for i, u, d in rows]) if end <= len(archive) // 2)
+    assert whole == Counter((i, u, d) for i, u, d in rows) + Counter((i, u, d) for i, u, d in rows[:half])
+
+
 def test_heads_inside_payloads_are_not_reached():
     inner = record(2, "u", b"inner", "0" * 40, None)
     data = record(1, "u", b"before " + inner + b" after", "0" * 40, None) + record(3, "u", b"", "0" * 40, None)
-    starts, nexts, found = plain_candidates(data)
+    starts, nexts, found = candidates(data, False)
     assert len(found) == 3
     assert [f[0]["warc-page-id"] for f, ok in zip(found, reachable(starts, nexts), strict=True) if ok] == ["1", "3"]
 
@@ -55,10 +88,16 @@ def test_members_are_standard_gzip_and_end_in_a_zero_byte():
         m = member(payload)
         assert m[-1] == 0 and gzip.decompress(m) == payload
     stored = member(member(b"inside")) + member(b"next")
-    starts, nexts, found = gzip_candidates(stored)
+    starts, nexts, found = candidates(stored, True)
     assert [f for f, ok in zip(found, reachable(starts, nexts), strict=True) if ok] == [member(b"inside"), b"next"]
 
 
+def test_exits():
+    starts, nexts = np.array([0, 5, 9, 12, 20]), np.array([9, 7, 20, 99, 40])
+    assert exits(starts, nexts).tolist() == [40, 7, 40, 99, 40]
+    assert exits(starts[:0], nexts[:0]).tolist() == []
+
+
 def test_pointer_jumping():
     starts = np.arange(0, 1000, 10)
     nexts = starts + 20
