@@ -214,25 +214,29 @@ def _search(k: int, dim: int):
 def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` rows with the highest inner product: query_id, rank (from 1), vec_id, score.
 
-    Components x become floor(scale * x). Queries are the rows for which the SQL condition ``is_query`` over ``id_col`` holds;
+    Components x become floor(scale * x). Queries are the rows for which the SQL condition ``is_query`` over the table's columns holds;
     candidates are all rows but those with the query's own id. Ties go to the smaller id; fewer rows come back if there are fewer.
 
-    * Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id.
-    * Shorter vectors count as padded with zeros. Whole numbers must stay below 2**28 for sums to be exact.
-    * Repeated rows are candidates of their own; an id is asked once. An empty table gives an empty result.
+    * Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id.
+    * Shorter vectors count as padded with zeros, empty ones too. Components so large that a sum could leave 64 bits raise an error.
+    * Repeated rows are candidates of their own; an id is asked once, with the least of its vectors. An empty table gives an empty result.
 
     Every pair of a query block and an index block is searched once, so the work is queries times rows; each search returns k rows for each query.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.where("id is not null and v is not null and size(v) > 0").where("not exists(v, x -> x is null or isnan(x) or x = double('infinity') or x = double('-infinity'))")
-    dim = rows.agg(F.max(F.size("v"))).first()[0]
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.expr(is_query).alias("asked"))
+    rows = rows.where("id is not null and v is not null").where("not exists(v, x -> x is null or isnan(x) or x = double('infinity') or x = double('-infinity'))")
+    dim, largest = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if dim is None:
         return spark.createDataFrame([], empty)
-    index = stash(rows.mapInArrow(_blocks(scale, dim), _BLOCK), "slices")
-    queries = stash(rows.where(is_query.replace(id_col, "id")).dropDuplicates(["id"]).mapInArrow(_query_blocks(scale, dim), "qids binary, q binary"), "queries")
+    dim = max(dim, 1)
+    # Sums of products of a component and an offset from a minimum, both below this number and twice this number.
+    if 4 * dim * (scale * (largest or 0.0) + 1) ** 2 >= 2.0**63:
+        raise ValueError(f"components up to {largest} make sums beyond 64 bits at a scale of {scale}")
+    index = stash(rows.select("id", "v").mapInArrow(_blocks(scale, dim), _BLOCK), "slices")
+    queries = stash(rows.where("asked").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_query_blocks(scale, dim), "qids binary, q binary"), "queries")
     # Both sides are dealt over a grid: index blocks to groups, query blocks to each group; a task joins one group.
     groups = max(1, min(index.count(), 4 * partitions(spark)))
     dealt = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
