@@ -6,11 +6,12 @@ import argparse
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonarium.functions import records as R
 from clonarium.operators import clones, germlines, lineage, verbs
+from clonarium.plans.store import share
 from clonarium.session import session
 from clonarium.sources import aligners, export, external
 from clonarium.sources.tsv import EXTENSIONS, ROW, output_name, read_tsv, summary, write_tsv
@@ -25,7 +26,8 @@ def _common(p: argparse.ArgumentParser, db: bool = True) -> argparse.ArgumentPar
     p.add_argument("--outdir")
     p.add_argument("--outname")
     p.add_argument("--failed", action="store_true", help="write rows that fail as well")
-    p.add_argument("--log", help="write reasons of rows that fail here")
+    p.add_argument("--log", help="write results and reasons of records here")
+    p.add_argument("--parts", action="store_true", help="leave outputs in as many files as tasks write, in order, instead of one")
     p.add_argument("--format", choices=FORMATS, default="airr")
     p.add_argument("--nproc", type=int, help="local[n] instead of the configured master")
     return p
@@ -120,6 +122,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--allow-stop", action="store_true")
             p.add_argument("--asis-calls", action="store_true")
             p.add_argument("--sample", nargs="*", default=[], metavar="KEY=VALUE")
+            p.add_argument("-y", dest="features", help="file of lines KEY: VALUE, like --sample")
 
     p = _common(tools.add_parser("trees", help="input of lineage trees"))
     p.add_argument("--collapse", action="store_true")
@@ -131,6 +134,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sample", type=int, dest="depth")
     p.add_argument("--append", nargs="+")
     p.add_argument("--igphyml", action="store_true")
+    for name, default in (("optimize", "lr"), ("omega", "e,e"), ("motifs", "FCH"), ("hotness", "e,e,e,e,e,e"), ("oformat", "tab")):
+        p.add_argument(f"--{name}", default=default)
+    p.add_argument("-t", dest="kappa", default="e")
+    p.add_argument("--nohlp", action="store_true")
+    p.add_argument("--asr", type=float)
+    p.add_argument("--clean", choices=("none", "all"), default="none")
 
     align = tools.add_parser("align", help="multiple alignment").add_subparsers(dest="how", required=True)
     for how in ("across", "block", "within"):
@@ -152,6 +161,7 @@ def parser() -> argparse.ArgumentParser:
         for s in "vdjc":
             p.add_argument(f"--{s}db")
         p.add_argument("--exec", dest="program", default="igblastn" if kind == "igblast" else "igblastp")
+        p.add_argument("--table", action="store_true", help="the program's own table instead of blocks")
     return top
 
 
@@ -174,14 +184,21 @@ def _target(a: argparse.Namespace, i: int, label: str) -> str:
 def _store(a: argparse.Namespace, df: DataFrame, path: str, passed: str | None = None, reason: str | None = None, fields: list[str] | None = None) -> None:
     kept = df if passed is None else df.where(F.col(passed))
     drop = [c for c in (passed, reason) if c and c in df.columns]
-    write_tsv(kept.drop(*drop), path, fields, single=True)
+    write_tsv(kept.drop(*drop), path, fields, single=not a.parts)
     if passed and a.failed:
         stem, ext = os.path.splitext(path)
-        write_tsv(df.where(~F.coalesce(F.col(passed), F.lit(False))).drop(*drop), f"{stem.removesuffix('-pass')}-fail{ext}", fields, single=True)
+        write_tsv(df.where(~F.coalesce(F.col(passed), F.lit(False))).drop(*drop), f"{stem.removesuffix('-pass')}-fail{ext}", fields, single=not a.parts)
     if passed:
         print("".join(f"{k.upper():>10}> {v}\n" for k, v in summary(df, F.col(passed)).items()), end="")
-    if passed and reason and a.log:
-        df.where(~F.coalesce(F.col(passed), F.lit(False))).select("sequence_id", reason).coalesce(1).write.mode("append").csv(a.log, sep="\t")
+    if passed and reason:
+        _log(a, df, F.col(passed), F.col(reason))
+
+
+def _log(a: argparse.Namespace, df: DataFrame, passed: Column, reason: Column, ident: str = "sequence_id") -> None:
+    """A line for each record: its id, whether it passed, and why not."""
+    if a.log:
+        ok = F.coalesce(passed, F.lit(False))
+        df.select(F.col(ident).alias("ID"), F.when(ok, "PASS").otherwise("FAIL").alias("RESULT"), F.when(~ok, reason).otherwise("").alias("ERROR")).write.mode("append").csv(a.log, sep="\t", header=True)
 
 
 def _parse(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -211,6 +228,9 @@ def _clones(spark: SparkSession, a: argparse.Namespace) -> None:
         df = read_tsv(spark, file)
         name = lambda c: R.from_attribute(R.to_attribute(c, "airr"), a.format)
         out = clones.assign_clones(df, a.dist, a.model, a.link, None if a.norm == "none" else a.norm, a.sym, a.mode, a.act, a.maxmiss, [name(f) for f in a.gf or []], name(a.sf), name(a.vf), name(a.jf))
+        ident, junction = R.from_attribute("sequence_id", a.format), name(a.sf)
+        why = F.when(F.col("pre").isNull(), "no group: a call or field is missing").when(F.coalesce(F.col(junction), F.lit("")) == "", "no junction").otherwise("too many missing letters in the junction")
+        _log(a, out, F.col("passed"), why, ident)
         out = clones.number_clones(out, ROW).drop("pre").withColumnRenamed("clone", R.from_attribute("clone", a.format))
         _store(a, out, _target(a, i, "clone-pass"), "passed")
 
@@ -235,9 +255,9 @@ def _germlines(spark: SparkSession, a: argparse.Namespace) -> None:
                 out = out.drop(f"germline_{t}")
         out = out.drop("germline_consensus")
         kept = R.texts(out.where("passed").drop("passed", "germline_error"), a.format)
-        write_tsv(kept, _target(a, i, "germ-pass"), single=True)
+        write_tsv(kept, _target(a, i, "germ-pass"), single=not a.parts)
         if a.failed:
-            write_tsv(R.texts(out.where("not passed").drop("passed", "germline_error"), a.format), _target(a, i, "germ-fail"), single=True)
+            write_tsv(R.texts(out.where("not passed").drop("passed", "germline_error"), a.format), _target(a, i, "germ-fail"), single=not a.parts)
 
 
 def _make(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -249,7 +269,7 @@ def _make(spark: SparkSession, a: argparse.Namespace) -> None:
         with tempfile.TemporaryDirectory() as folder:
             ids = None
             if a.report == "imgt":
-                df = aligners.read_tables(spark, aligners.unpack_tables(file, folder))
+                df = aligners.read_tables(spark, share(spark, aligners.unpack_tables(file, folder)))
                 ids = aligners.short_ids(seqs, a.imgt_id_len) if seqs is not None else None
             elif a.report == "igblast":
                 df = aligners.read_blocks(spark, file, seqs, refs, a.asis_calls, a.regions, a.infer_junction)
@@ -258,12 +278,16 @@ def _make(spark: SparkSession, a: argparse.Namespace) -> None:
             else:
                 df = aligners.read_semicolon(spark, file, seqs, refs)
             out = aligners.finish(df, refs, ids, cells, not a.asis_id, "partial" if a.partial else "strict", aa)
+            there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+            if not aa:
+                why = F.concat_ws("; ", *[F.when(~there(c), f"no {c}") for c in ("v_call", "j_call", "functional", "sequence_imgt", "junction")], F.when(there("junction") & there("sequence_imgt") & ~aligners.junction_agrees(out), "the junction does not stand at its place"))
+                _log(a, out, F.col("passed"), why)
             extra = aligners.EXTENDED["ihmmune" if a.report == "ihmm" else a.report] if a.extended else []
             fields = list(dict.fromkeys([*R.REQUIRED[a.format], *(R.from_attribute(x, a.format) for x in extra)]))
             passed = R.texts(out.where("passed").drop("passed", "annotations"), a.format, fields)
-            write_tsv(passed, _target(a, i, "db-pass"), fields, single=True)
+            write_tsv(passed, _target(a, i, "db-pass"), fields, single=not a.parts)
             if a.failed:
-                write_tsv(R.texts(out.where("not passed").drop("passed", "annotations"), a.format, fields), _target(a, i, "db-fail"), fields, single=True)
+                write_tsv(R.texts(out.where("not passed").drop("passed", "annotations"), a.format, fields), _target(a, i, "db-fail"), fields, single=not a.parts)
 
 
 def _convert(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -271,13 +295,13 @@ def _convert(spark: SparkSession, a: argparse.Namespace) -> None:
         df = read_tsv(spark, file)
         if a.target in ("airr", "legacy"):
             source = "legacy" if a.target == "airr" else "airr"
-            write_tsv(R.convert(df, source, a.target), output_name(file, a.target, R.EXTENSION[a.target], a.outdir, a.outname), single=True)
+            write_tsv(R.convert(df, source, a.target), output_name(file, a.target, R.EXTENSION[a.target], a.outdir, a.outname), single=not a.parts)
         elif a.target == "fasta":
             export.write_fasta(df.orderBy(ROW), _target(a, i, "sequences"), ident=a.ident, seq=a.sf, fields=a.mf)
         elif a.target == "baseline":
             export.clonal_fasta(df, a.ident, a.sf, a.gf, a.cf, a.mf).orderBy(ROW).select("fasta").coalesce(1).write.text(_target(a, i, "sequences"))
         else:
-            sample = dict(x.split("=", 1) for x in a.sample)
+            sample = (export.read_features(a.features) if a.features else {}) | dict(x.split("=", 1) for x in a.sample)
             out = export.submission(R.typed(df, a.format), label=a.gb_label, count_field=a.gb_nf, index_field=a.gb_if, molecule=a.gb_mol, sample=sample, product=a.gb_product, inference=a.gb_inf, db_xref=a.gb_db, c_field=a.gb_cf, allow_stop=a.allow_stop, as_is=a.asis_calls)
             ok = out.where("features is not null").orderBy(ROW)
             ok.select("fasta").coalesce(1).write.text(_target(a, i, "genbank") + ".fsa")
@@ -295,7 +319,7 @@ def _trees(spark: SparkSession, a: argparse.Namespace) -> None:
         out = lineage.align_clones(masked, a.md, a.collapse, a.ncdr3, a.minseq, order=ROW)
         manifest = lineage.write_clone_files(out, _target(a, i, "lineages"))
         if a.igphyml:
-            external.run_igphyml(manifest)
+            external.run_igphyml(manifest, clean=a.clean, threads=a.nproc or 1, optimize=a.optimize, omega=a.omega, kappa=a.kappa, motifs=a.motifs, hotness=a.hotness, oformat=a.oformat, asr=a.asr, hlp=not a.nohlp)
 
 
 def _align(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -305,10 +329,10 @@ def _align(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _assign(spark: SparkSession, a: argparse.Namespace) -> None:
-    external.check_version(external.version(a.program), "constant" if a.cdb else "blocks")
+    external.check_version(external.version(a.program), "constant" if a.cdb else "table" if a.table else "blocks")
     for i, file in enumerate(a.files):
         seqs = aligners.read_fasta(spark, file)
-        command = lambda query, output: external.igblast_command(a.program, query, output, a.base, a.organism, a.loci, vdb=a.vdb, ddb=a.ddb, jdb=a.jdb, cdb=a.cdb, protein=a.kind.endswith("aa"))
+        command = lambda query, output: external.igblast_command(a.program, query, output, a.base, a.organism, a.loci, vdb=a.vdb, ddb=a.ddb, jdb=a.jdb, cdb=a.cdb, protein=a.kind.endswith("aa"), fmt="table" if a.table else "blocks")
         external.run_partitions(seqs, command).write.text(_target(a, i, "igblast"))
 
 

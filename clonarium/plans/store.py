@@ -18,14 +18,16 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder of this machine is taken.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one machine a temporary folder of
+    this machine is taken; on a cluster without it this raises, as executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="clonarium-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -78,6 +80,19 @@ def drop_stash(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def share(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """Copies of files of the driver's machine in the shared folder, for executors to read; on one machine the files themselves."""
+    if spark.sparkContext.master.startswith("local"):
+        return paths
+    jvm, folder = spark.sparkContext._jvm, new_folder(spark, "files")
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    out = {k: f"{folder}/{os.path.basename(p)}" for k, p in paths.items()}
+    for k, p in paths.items():
+        fs.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(p)}"), jvm.org.apache.hadoop.fs.Path(out[k]))
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonarium.functions import genes as G
@@ -54,10 +54,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq_to_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``>name`` and sequence from four-line records, in file order within splits."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("n", "line"))
-    kept = lines.where("n % 4 in (0, 1)")
-    return kept.select(F.when(F.col("n") % 4 == 0, F.concat(F.lit(">"), F.expr("substring(line, 2)"))).otherwise(F.col("line")).alias("value"), F.col("n").alias(ROW))
+    """Lines ``>name`` and sequence from four-line records, with their order. Files are read split by split: a line's number is that
+    within its split and the counts of the file's splits before."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("nth").alias("first"))
+    counts = counts.select("file", "block", "first", F.coalesce(F.sum("lines").over(ahead), F.lit(0)).alias("before"))
+    kept = lines.join(counts, ["file", "block"]).withColumn("n", F.col("before") + F.col("nth") - F.col("first")).where("n % 4 in (0, 1)")
+    text = F.rtrim("value", F.lit("\r"))
+    return kept.select(F.when(F.col("n") % 4 == 0, F.concat(F.lit(">"), F.substring(text, 2, 1 << 30))).otherwise(text).alias("value"), F.struct("file", "n").alias(ROW))
 
 
 def read_cell_ranger(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -119,6 +119,17 @@ def features(
     return df.withColumn("features", F.when(~F.coalesce(fails, F.lit(True)), F.filter(made, lambda x: x.isNotNull())))
 
 
+def read_features(path: str) -> dict[str, str]:
+    """Features of a sample from a file of lines ``key: value``; comments, blank lines and quotes around values are left out."""
+    out = {}
+    with open(path) as f:
+        for line in f:
+            key, sep, value = line.partition(":")
+            if sep and not line.lstrip().startswith("#"):
+                out[key.strip()] = value.split(" #")[0].strip().strip("'\"")
+    return out
+
+
 def submission(
     df: DataFrame, name: Column | None = None, label: str | None = None, count_field: str | None = None, index_field: str | None = None, molecule: str = MOLECULE, sample: dict[str, str] | None = None, **options
 ) -> DataFrame:

@@ -132,13 +132,25 @@ def tbl2asn(fasta: str, template: str, program: str = "tbl2asn", run: Callable =
     return run([program, "-p", os.path.dirname(fasta) or ".", "-a", "s", "-V", "vb", "-t", template], capture_output=True, text=True, check=True).stdout
 
 
-def igphyml_commands(manifest: str, program: str = "igphyml", threads: int = 1, optimize: str = "lr", omega: str = "e,e", motifs: str = "FCH", hotness: str = "e,e,e,e,e,e", oformat: str = "tab", asr: float | None = None) -> list[list[str]]:
-    """Two runs of the tree builder: trees under a simple codon model, then parameters of the hotspot model on these trees."""
+def igphyml_commands(
+    manifest: str, program: str = "igphyml", threads: int = 1, optimize: str = "lr", omega: str = "e,e", kappa: str = "e", motifs: str = "FCH", hotness: str = "e,e,e,e,e,e", oformat: str = "tab", asr: float | None = None, hlp: bool = True
+) -> list[list[str]]:
+    """Two runs of the tree builder: trees under a simple codon model, then (with ``hlp``) parameters of the hotspot model on these trees."""
     first = [program, "--repfile", manifest, "-m", "GY", "--outrep", f"{manifest}.gy", "--run_id", "gy", "-o", "tlr", "--threads", str(threads)]
-    second = [program, "--repfile", f"{manifest}.gy", "-m", "HLP", "--run_id", "hlp", "--threads", str(threads), "-o", optimize, "--omega", omega, "--motifs", motifs, "--hotness", hotness, "--oformat", oformat]
+    if not hlp:
+        return [first]
+    second = [program, "--repfile", f"{manifest}.gy", "-m", "HLP", "--run_id", "hlp", "--threads", str(threads), "-o", optimize, "--omega", omega, "-t", kappa, "--motifs", motifs, "--hotness", hotness, "--oformat", oformat]
     return [first, second + (["--ASRc", str(asr)] if asr is not None else [])]
 
 
-def run_igphyml(manifest: str, run: Callable = subprocess.run, **options) -> None:
+def run_igphyml(manifest: str, run: Callable = subprocess.run, clean: str = "none", **options) -> None:
+    """Runs the commands; ``clean="all"`` then removes the folder of clone files, and leaves the program's results beside the manifest."""
     for command in igphyml_commands(manifest, **options):
         run(command, check=True)
+    if clean == "all":
+        with open(manifest) as f:
+            for line in f.readlines()[1:]:
+                fasta, _, _, parts = line.rstrip("\n").split("\t")
+                for path in (fasta, parts):
+                    if os.path.exists(path):
+                        os.remove(path)

@@ -69,3 +69,45 @@ def test_rest_imports_without_the_corpus_operators(tmp_path):
         (tmp_path / rel).write_text(p.read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_clones_log_and_parts(spark, table, tmp_path):
+    out, log = str(tmp_path / "c.tsv"), str(tmp_path / "log")
+    cli.main(["clones", "-d", table, "--dist", "0.1", "-o", out, "--log", log, "--parts"], spark)
+    rows = [r for part in glob.glob(f"{log}/part-*") for r in csv.DictReader(open(part, newline=""), delimiter="\t")]
+    assert {r["ID"]: (r["RESULT"], r["ERROR"] or "") for r in rows} == {"s1": ("PASS", ""), "s2": ("PASS", ""), "s3": ("PASS", ""), "s4": ("FAIL", "no junction")}
+
+
+def test_features_file_and_tree_options(tmp_path):
+    from clonarium.sources import export, external
+
+    (tmp_path / "f.yaml").write_text("# sample\norganism: Homo sapiens\nsex: 'female'  # as told\n\ncell-type: B cell\n")
+    assert export.read_features(str(tmp_path / "f.yaml")) == {"organism": "Homo sapiens", "sex": "female", "cell-type": "B cell"}
+    files = [tmp_path / x for x in ("c.fasta", "c.part.txt", "lineages.tsv")]
+    for f in files:
+        f.write_text("x")
+    files[2].write_text(f"1\n{files[0]}\tN\tc_GERM\t{files[1]}\n")
+    ran = []
+    external.run_igphyml(str(files[2]), run=lambda c, check: ran.append(c), clean="all", hlp=False, threads=3)
+    assert len(ran) == 1 and ran[0][-1] == "3" and not files[0].exists() and not files[1].exists()
+    assert external.igphyml_commands("m", kappa="1.5")[1].count("1.5") == 1
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from clonarium.plans import store
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.scratch_root(Session())
