@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,19 +51,18 @@ def least_members(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
             return least
 
 
-def _at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    frames = [b for b in batches if len(b)]
-    if not frames:
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = [b for b in batches if b.num_rows]
+    if not links:
         return
-    links = pd.concat(frames)
-    both = links["u"].to_numpy(), links["v"].to_numpy()
-    nodes = np.unique(np.concatenate(both))
-    u, v = (np.searchsorted(nodes, x) for x in both)
-    least = least_members(u, v, len(nodes))
+    kind = links[0].schema.field(0).type
+    u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in links]) for i in (0, 1))
+    nodes = np.unique(np.concatenate([u, v]))
+    least = least_members(np.searchsorted(nodes, u), np.searchsorted(nodes, v), len(nodes))
     moved = np.flatnonzero(least != np.arange(len(nodes)))
     for lo in range(0, len(moved), 10_000):
         some = moved[lo : lo + 10_000]
-        yield pd.DataFrame({"u": nodes[some], "v": nodes[least[some]]})
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some], kind), pa.array(nodes[least[some]], kind)], names=["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -78,7 +77,7 @@ def components(links: DataFrame) -> DataFrame:
     before = _state(edges)
     if before[0] <= SMALL:
         ship(links.sparkSession)
-        out = stash(edges.coalesce(1).mapInPandas(_at_once, edges.schema), "edges")
+        out = stash(edges.coalesce(1).mapInArrow(_at_once, edges.schema), "edges")
         drop_stash(edges)
         return out
     while True:

@@ -36,14 +36,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/clonarium-{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
+def stash(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage. Arrow batches on the way hold ``rows`` rows.
 
     The files outlive any executor. ``drop_stash`` removes them as soon as nothing reads them any more.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    with small_batches(spark), cleaned_shuffles(spark):
+    with small_batches(spark, rows), cleaned_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
