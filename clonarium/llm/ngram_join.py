@@ -28,8 +28,10 @@ U = np.uint64
 FOLD = 16
 #: Repeated ids up to which their table is broadcast.
 FEW = 100_000
+#: Rows of an Arrow batch with texts; a batch is held on either side of a worker's pipe.
+TEXTS = 300
 #: Signatures that a task holds before it sorts and emits them.
-HELD = 750_000
+HELD = 400_000
 
 #: Parts up to which a sketch's empty parts take part in the join.
 SMALL = 32
@@ -303,7 +305,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     sizes = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
     first = shared.where(sizes).select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
     ids = shared.select(F.col("ra").alias("id")).unionAll(shared.select(F.col("rb").alias("id"))).distinct()
-    store = stash(known.join(ids, "id").mapInArrow(_keep_text(k, lower), _STORE_SCHEMA), "store")
+    store = stash(known.join(ids, "id").mapInArrow(_keep_text(k, lower), _STORE_SCHEMA), "store", TEXTS)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = store.select(F.col("id").alias("u"), F.col("ztext").alias("x")).distinct()
@@ -312,7 +314,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
         return joined.repartition(parts, "u", F.pmod(F.xxhash64("v"), F.lit(64))).sortWithinPartitions("u").mapInArrow(_verify(k, num, den, lower), "u long, v long")
 
     same = stands.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    tested, links = [first], [stash(verified(first), "links")]
+    tested, links = [first], [stash(verified(first), "links", TEXTS)]
     group = components(links[0])
     members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct(), "members")
     sketches = store.drop("ztext").distinct()
@@ -338,7 +340,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = stash(pairs, "tested")
         tested.append(pairs)
-        links.append(stash(verified(pairs), "links"))
+        links.append(stash(verified(pairs), "links", TEXTS))
         drop_stash(rows)
         before, group = group, components(group.unionAll(links[-1]))
         drop_stash(before)
