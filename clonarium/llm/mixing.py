@@ -98,20 +98,25 @@ def cuts(rows: DataFrame, aim: DataFrame, few: bool) -> DataFrame:
     """(source, cut): the last place that the partial pass of a source takes. Sources without such a pass have no row.
 
     A radix search: each step adds up sizes by source and the next ``DIGIT`` bits of the place, among the rows whose place begins as the
-    cut does. A step shuffles at most 2 ** DIGIT sums for each source and task, whatever a source holds.
+    cut does. A step shuffles at most 2 ** DIGIT sums for each source and task, whatever a source holds. Once ``FEW`` rows are left or less,
+    one step looks at their whole places.
     """
-    state = aim.where("missing > 0").select("source", "missing", F.lit(0).cast("long").alias("lead"))
-    for bits in range(PLACE - DIGIT, -1, -DIGIT):
-        live = _joined(rows.select("source", "size", "place"), state, few).where(F.expr(f"shiftright(place, {bits + DIGIT}) = lead"))
-        sums = live.groupBy("source", F.expr(f"shiftright(place, {bits})").alias("digit")).agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-        run = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    state, known = aim.where("missing > 0").select("source", "missing", F.lit(0).cast("long").alias("lead")), 0
+    while True:
+        live = _joined(rows.select("source", "size", "place"), state, few).where(F.expr(f"shiftright(place, {PLACE - known}) = lead"))
+        # The last step looks at whole places: of the few rows that are left, or the last bits.
+        last = known + DIGIT >= PLACE or (known > 0 and left <= FEW)
+        bits = 0 if last else PLACE - known - DIGIT
+        sums = live.groupBy("source", F.expr(f"shiftright(place, {bits})").alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("missing").alias("missing"))
         sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-        if bits:  # the digit at which the missing words run out
-            step = sums.groupBy("source").agg(F.expr("coalesce(min(case when before + words > missing then struct(digit, before) end), max(struct(digit, before)))").alias("x"), F.first("missing").alias("missing"))
-            state = stash(step.select("source", (F.col("missing") - F.col("x.before")).alias("missing"), F.col("x.digit").alias("lead")), "cut")
-        else:  # the last place whose middle lies within the missing words; if there is none, the place before the first
-            state = stash(sums.groupBy("source").agg(F.expr("coalesce(max(case when before + words / 2 <= missing then digit end), min(digit) - 1)").alias("cut")), "cut")
-    return state
+        if last:  # the last place whose middle lies within the missing words; if there is none, the place before the first
+            return stash(sums.groupBy("source").agg(F.expr("coalesce(max(case when before + words / 2 <= missing then digit end), min(digit) - 1)").alias("cut")), "cut")
+        # the digit at which the missing words run out
+        step = sums.groupBy("source").agg(F.expr("coalesce(min(case when before + words > missing then struct(digit, before, n) end), max(struct(digit, before, n)))").alias("x"), F.first("missing").alias("missing"))
+        state = stash(step.select("source", (F.col("missing") - F.col("x.before")).alias("missing"), F.col("x.digit").alias("lead"), F.col("x.n").alias("n")), "cut")
+        left, known = state.agg(F.sum("n")).first()[0] or 0, known + DIGIT
+        state = state.drop("n")
 
 
 def _plan(rows: DataFrame, weights: tuple[int, ...], repeats: int, shards: int, seed: int) -> tuple[DataFrame, bool]:

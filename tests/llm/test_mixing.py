@@ -3,9 +3,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
+from clonarium.llm import mixing
 from clonarium.llm.mixing import PLACE, cuts, mix, mixed_rows, split_quotas, taken, write_shards
 from tests.llm.fixtures import SCHEMA, corpus, words
 
@@ -64,8 +66,10 @@ def test_taken_is_counted_over_written_shards(spark, tmp_path):
     assert {r.shard for r in found} == set(range(5))
 
 
-def test_cut_is_where_the_plain_order_has_it(spark):
-    """The radix search against a sort of all places."""
+@pytest.mark.parametrize("rows_left", [100_000, 3, -1])
+def test_cut_is_where_the_plain_order_has_it(spark, monkeypatch, rows_left):
+    """The radix search, to its end or until few rows are left, against a sort of all places."""
+    monkeypatch.setattr(mixing, "FEW", rows_left)
     rows = spark.createDataFrame([(s, (i * 7919) % 97, (i * 2654435761 * (1 + s)) % (1 << PLACE)) for s in range(3) for i in range(500)], "source int, size long, place long").withColumn("source", F.col("source").cast("string"))
     aim = spark.createDataFrame([("0", 1000.5), ("1", 0.0), ("2", 20000.0)], "source string, missing double")
     got = {r.source: r.cut for r in cuts(rows, aim, True).collect()}
