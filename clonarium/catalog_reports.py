@@ -6,15 +6,20 @@ sometimes a D segment, and a J segment, and what an aligner says of it; the repo
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonarium.catalog import query
-from clonarium.datasets import table
+from clonarium.catalog import _CODON, _WEIGHTS, SQL, _nodes, _rep, query
+from clonarium.datasets import REPERTOIRE, repertoire, table
+from clonarium.functions import distance as D
+from clonarium.functions import genes as G
 from clonarium.functions import records as R
 from clonarium.functions import sequences as S
+from clonarium.operators import clones as C
 from clonarium.operators import germlines as L
-from clonarium.plans.store import new_folder
+from clonarium.plans.store import new_folder, ship
 from clonarium.sources import aligners as A
 from clonarium.sources import export as X
 from clonarium.sources import tsv
@@ -401,3 +406,98 @@ def number_v(spark, sf_dir):
     """The reference's gaps put into the V part of a read."""
     d = A._with_reference(_reads(spark, sf_dir), _references(spark), F.col("vcall"), "ref").withColumn("g", S.gap_v("vseq", F.lit(1), F.lit(18), "ref"))
     return d.select(F.col("name").alias("sequence_id"), F.col("g.sequence").alias("gapped"), F.col("g.start").cast("int").alias("start"), F.col("g.length").cast("int").alias("length"))
+
+
+# Names, texts and alignments.
+
+_KINDS = {k: p.replace("(IG[HLK]|TR[ABGD])", "(?:IG[HLK]|TR[ABGD])") for k, p in G.PATTERNS.items()}
+
+
+@query(
+    _rep(
+        f"SELECT sequence_id, nullif(regexp_extract(v_call, '{_KINDS['v_allele']}'), '') AS v, nullif(regexp_extract(j_call, '{_KINDS['v_allele']}'), '') AS not_v, "
+        f"array_to_string(list_sort(list_distinct(regexp_extract_all(v_call, '{_KINDS['allele']}'))), ',') AS alleles, array_to_string(list_sort(list_distinct(regexp_extract_all(concat(v_call, ',', j_call), '{_KINDS['family']}'))), ',') AS families, "
+        "regexp_replace(split_part(v_call, ',', 1), '\\*[^*]*$', '') AS gene_as_is, regexp_extract(split_part(v_call, ',', 1), '\\*([^*]*)$', 1) AS number_as_is FROM rep"
+    )
+)
+def gene_kinds(spark, sf_dir):
+    gene, number = G.split_as_is(G.first_as_is("v_call"))
+    return repertoire(spark, sf_dir).select(
+        "sequence_id", G.v_allele("v_call").alias("v"), G.v_allele("j_call").alias("not_v"), F.array_join(G.allele("v_call", "set"), ",").alias("alleles"),
+        F.array_join(G.family(F.concat("v_call", F.lit(","), "j_call"), "set"), ",").alias("families"), gene.alias("gene_as_is"), number.alias("number_as_is"),
+    )
+
+
+@query(_rep("SELECT sequence_id, regexp_replace(concat('NN', junction, 'N'), '^N+|N+$', '', 'g') AS trimmed, translate(concat(sample_id, ' (a:b,c)'), ',:)( ', '----_') AS cleaned, replace(concat(sample_id, '_x_'), '_', '') AS bare, cast(length(junction) - 3 - CASE WHEN junction LIKE '%N%' THEN 1 ELSE 0 END - length(regexp_replace(substr(junction, 4), '[^T]', '', 'g')) AS int) AS unlike FROM rep"))
+def sequence_text(spark, sf_dir):
+    """Texts for submission and tree files; places unlike those of TGTTTT.., where both are known."""
+    other = F.concat(F.substring("junction", 1, 3), F.repeat(F.lit("T"), F.length("junction") - 3))
+    return repertoire(spark, sf_dir).select(
+        "sequence_id", S.trim_n(F.concat(F.lit("NN"), "junction", F.lit("N"))).alias("trimmed"), S.clean_id(F.concat("sample_id", F.lit(" (a:b,c)"))).alias("cleaned"),
+        S.clean_metadata(F.concat("sample_id", F.lit("_x_"))).alias("bare"), S.unlike_places("junction", other).alias("unlike"),
+    )
+
+
+@query(_sql("SELECT name AS sequence_id, concat(cast(np + 2 AS varchar), 'S', cast(3 * d + 4 AS varchar), 'N18=', cast(np + 1 AS varchar), 'X3I2D') AS cigar, np + 2 AS q_start, 18 + np + 1 + 3 AS q_length, 3 * d + 4 AS r_start, 18 + np + 1 + 2 AS r_length FROM reads"))
+def cigar_positions(spark, sf_dir):
+    """An alignment read from its text, with more clipped at its start, and its places."""
+    text = F.concat(F.lit("2S4N18="), (F.col("np") + 1).cast("string"), F.lit("X3I2D"))
+    d = _reads(spark, sf_dir).withColumn("a", S.pad_alignment(S.decode_cigar(text), F.col("np"), 3 * F.col("d"))).withColumn("p", S.alignment_positions("a"))
+    return d.select(F.col("name").alias("sequence_id"), S.encode_cigar("a").alias("cigar"), *[F.col(f"p.{c}").cast("int").alias(c) for c in ("q_start", "q_length", "r_start", "r_length")])
+
+
+# Distances of the other models.
+
+_OTHER = "VALUES ('A','G',0.32),('C','T',0.32),('A','T',1.17),('C','G',1.17),('A','C',1.51),('G','T',1.51)"
+
+
+@query(SQL["distance_weighted_pairs"].replace(_WEIGHTS, _OTHER).replace("<= 7)", "<= 12)").replace("<= 0.12", "<= 0.1"))
+def distance_other_pairs(spark, sf_dir):
+    found = C.close_pairs(_nodes(spark, sf_dir), "mk_rs1nf", 0.1, "len")
+    parts = F.from_json("pre", "v string, j string")
+    return found.select(parts["v"].alias("v"), parts["j"].alias("j"), F.col("u").alias("a"), F.col("v").alias("b"), F.round("distance", 6).alias("distance"))
+
+
+_COMPAT = "VALUES ('A','G',1.0),('C','T',1.0),('A','T',1.75),('C','G',1.75),('A','C',2.08),('G','T',2.08)"
+_ALLELES = "SELECT DISTINCT v_call AS v, j_call AS j, length(junction) AS n, junction AS s FROM rep WHERE regexp_matches(junction, '^[ACGT]+$')"
+
+
+@query(
+    f"WITH rep AS ({REPERTOIRE}), nodes AS ({_ALLELES}), w(x, y, d) AS ({_COMPAT}), both_w AS (SELECT x, y, d FROM w UNION ALL SELECT y, x, d FROM w), "
+    "near AS (SELECT a.v, a.j, a.n, a.s AS a, b.s AS b, unnest(range(1, a.n + 1)) AS i FROM nodes a JOIN nodes b ON a.v = b.v AND a.j = b.j AND a.n = b.n AND a.s < b.s) "
+    "SELECT near.v AS v_call, near.j AS j_call, a, b, round(cast(sum(d) / count(*) AS double), 6) AS distance FROM near JOIN both_w ON substr(a, cast(i AS int), 1) = x AND substr(b, cast(i AS int), 1) = y GROUP BY near.v, near.j, a, b"
+)
+def distance_matrix(spark, sf_dir):
+    """All pairs of distinct junctions of equal calls and length, by matrix: the mean weight of their unlike places."""
+    ship(spark)
+    nodes = repertoire(spark, sf_dir).where(C.few_missing(F.col("junction"))).select("v_call", "j_call", F.length("junction").alias("n"), "junction").distinct()
+
+    def run(rows):
+        own = rows.sort_values("junction", ignore_index=True)
+        found = D.pairwise(own["junction"].tolist(), D.model("hs1f_compat"), "mut", "min")
+        i, j = np.triu_indices(len(own), 1)
+        text = own["junction"].to_numpy()
+        return pd.DataFrame({"v_call": own["v_call"][0], "j_call": own["j_call"][0], "a": text[i], "b": text[j], "distance": np.round(found[i, j], 6)})
+
+    return nodes.groupBy("v_call", "j_call", "n").applyInPandas(run, "v_call string, j_call string, a string, b string, distance double")
+
+
+@query(
+    f"WITH rep AS ({REPERTOIRE}), t AS (SELECT DISTINCT v_call AS v, j_call AS j, array_to_string(list_transform(range(0, cast((length(junction) + 2) // 3 AS int)), lambda i: {_CODON.replace('3 * i', 'cast(3 * i AS int)').replace('junction', 'rpad(junction, cast((length(junction) + 2) // 3 * 3 AS int), chr(78))')}), '') AS s FROM rep WHERE regexp_matches(junction, '^[ACGT]+$')) "
+    "SELECT a.v AS v_call, a.j AS j_call, a.s AS a, b.s AS b, cast(len(list_filter(range(1, length(a.s) + 1), lambda i: substr(a.s, cast(i AS int), 1) <> substr(b.s, cast(i AS int), 1) AND substr(a.s, cast(i AS int), 1) <> 'X' AND substr(b.s, cast(i AS int), 1) <> 'X')) AS double) AS distance "
+    "FROM t a JOIN t b ON a.v = b.v AND a.j = b.j AND length(a.s) = length(b.s) AND a.s < b.s"
+)
+def distance_residues(spark, sf_dir):
+    """All pairs of distinct proteins of equal calls and length: unlike residues. The last codon may be incomplete, and then counts as X."""
+    ship(spark)
+    d = repertoire(spark, sf_dir).where(C.few_missing(F.col("junction")))
+    nodes = d.select("v_call", "j_call", C.node(F.col("junction"), "aa").alias("s")).distinct().withColumn("n", F.length("s"))
+
+    def run(rows):
+        own = rows.sort_values("s", ignore_index=True)
+        found = D.pairwise(own["s"].tolist(), D.model("aa"), None)
+        i, j = np.triu_indices(len(own), 1)
+        text = own["s"].to_numpy()
+        return pd.DataFrame({"v_call": own["v_call"][0], "j_call": own["j_call"][0], "a": text[i], "b": text[j], "distance": found[i, j]})
+
+    return nodes.groupBy("v_call", "j_call", "n").applyInPandas(run, "v_call string, j_call string, a string, b string, distance double")
