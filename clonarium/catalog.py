@@ -367,7 +367,7 @@ _STEPS, _CHOSEN = _CONSENSUS.rsplit("SELECT k.clone, ", 1)
 
 @query(
     _GERM.rstrip() + ", " + _STEPS + f", cons AS (SELECT k.clone, {_CHOSEN}) "
-    "SELECT al.sequence_id, al.sequence_imgt, 9 AS j_germ_length, cons.consensus AS germline_consensus, CASE WHEN judged.germline_error IS NULL THEN upper(concat(vg, 'NN', jg)) END AS germline_dmask, "
+    "SELECT al.sequence_id, al.sequence_imgt, 9 AS j_germ_length, cons.consensus AS germline_consensus, CASE WHEN judged.sequence_id IS NOT NULL AND judged.germline_error IS NULL THEN upper(concat(vg, 'NN', jg)) END AS germline_dmask, "
     "CASE WHEN cons.consensus IS NULL THEN 'No sequence found with both consensus V and J calls.' ELSE judged.germline_error END AS germline_error "
     "FROM al JOIN cons ON cons.clone = al.junction LEFT JOIN judged ON judged.sequence_id = cons.consensus"
 )
