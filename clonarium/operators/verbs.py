@@ -85,7 +85,7 @@ def place(df: DataFrame, field: str) -> DataFrame:
     counts = kept.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__nth").alias("__first"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     counts = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
-    return kept.join(counts, "__part").withColumn(field, F.col("__ahead") + F.col("__nth") - F.col("__first") + 1).drop("__part", "__nth", "__ahead", "__first")
+    return kept.join(F.broadcast(counts), "__part").withColumn(field, F.col("__ahead") + F.col("__nth") - F.col("__first") + 1).drop("__part", "__nth", "__ahead", "__first")
 
 
 def index(df: DataFrame, field: str = "INDEX", order: str | list[str] = ROW) -> DataFrame:

@@ -132,7 +132,8 @@ def read_tables(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         frames[k] = df.select("_nth", *[F.col(f"`{c}`").alias(f"{k}: {c}") for c in df.columns if c != "_nth"])
     out = frames["summary"]
     for k in ("gapped", "ntseq", "junction"):
-        out = out.join(frames[k], "_nth")
+        # The few columns that are read of a well compressed table look small, though it has every row: no side is broadcast.
+        out = out.join(frames[k].hint("merge"), "_nth")
     same = [F.col(f"`summary: Sequence ID`") == F.col(f"`{k}: Sequence ID`") for k in ("gapped", "ntseq", "junction")]
     checked = F.when(same[0] & same[1] & same[2], F.col("`summary: Sequence ID`")).otherwise(F.raise_error(F.concat(F.lit("tables disagree from record "), F.col("`summary: Sequence ID`"))).cast("string"))
     t = lambda table, name: _present(out, f"{table}: {name}")

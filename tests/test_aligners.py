@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zipfile
 
 import pytest
@@ -126,6 +127,17 @@ def test_four_tables(spark, tmp_path):
         A.unpack_tables(str(folder), str(tmp_path / "out"))
 
 
+def test_tables_meet_without_a_broadcast_of_rows(spark, tmp_path):
+    """However small a table's files are, no join has its rows sent to the driver; counts by partition alone are."""
+    tables(tmp_path)
+    out = A.read_tables(spark, A.unpack_tables(str(tmp_path), str(tmp_path))).select("sequence_id", "np1_length")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner, .*_nth.* rightHint=\(strategy=merge\)", plan)) == 3
+    assert sorted(r.sequence_id for r in out.collect()) == ["s1", "s2"]
+    ran = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("SortMergeJoin") == 3
+
+
 def test_tables_that_disagree(spark, tmp_path):
     tables(tmp_path, third="other")
     with pytest.raises(PySparkException):
