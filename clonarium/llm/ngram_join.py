@@ -40,9 +40,16 @@ CROSS = 4
 #: Rows of a bucket that are compared with each other in one place; those of a larger bucket are dealt into parts, and pairs of parts are dealt to tasks.
 BLOCK = 4096
 
+#: Pairs of one document that are verified in one place, about; its text goes to each place.
+SLOT = 64
+
 _META, _SIGNATURE, _PAIR = 0, 1, 2
-_SIGN_SCHEMA = "kind tinyint, key long, a long, b long, n long"
-_SIGN_ARROW = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+#: A key is the number of its range and a rest of 32 bits. Unlike signatures that meet in a key are told apart by the verification.
+RANGES, REST = 12, 32
+_PAIR_SCHEMA = "kind tinyint, key long, a long, b long, n long"
+_SIGN_SCHEMA = f"{_PAIR_SCHEMA}, rests binary, ids binary"
+_PAIR_ARROW = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_SIGN_ARROW = pa.schema([*_PAIR_ARROW, ("rests", pa.binary()), ("ids", pa.binary())])
 _STORE_SCHEMA = "id long, n long, " + ", ".join(f"s{i} long" for i in range(FOLD)) + ", ztext binary"
 
 
@@ -119,9 +126,33 @@ def _signatures(row: np.ndarray, h: np.ndarray, n: np.ndarray, num: int, den: in
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def _emit(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+def _emit(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None, schema: pa.Schema = _PAIR_ARROW) -> pa.RecordBatch:
     as_long = lambda x: pa.nulls(len(key), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *map(as_long, (key, a, b, n))], schema=_SIGN_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *map(as_long, (key, a, b, n)), *(pa.nulls(len(key), pa.binary()) for _ in schema.names[5:])], schema=schema)
+
+
+def _packed(key: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and their documents, a row for each range of keys: the rests of its keys, and the distances of its documents from the least
+    one (``a``) in ``n`` bytes each."""
+    base = int(a.min())
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(a.max()) - base < 1 << 8 * w)
+    rests = (key & U((1 << REST) - 1)).astype(np.uint32)
+    ids = (a.view(U) - U(base % (1 << 64))).astype(f"u{width}")
+    ranges = key >> U(REST)
+    at = np.r_[np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]), len(key)]
+    rows = len(at) - 1
+    binary = lambda x: pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+    columns = [np.full(rows, _SIGNATURE, np.int8), ranges[at[:-1]].view(np.int64), np.full(rows, base), None, np.full(rows, width)]
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()) if c is None else pa.array(c) for c in columns] + [binary(rests), binary(ids)], schema=_SIGN_ARROW)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and documents of rows of ``_packed``."""
+    keys, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for r, base, width, rests, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6)), strict=True):
+        keys.append(np.frombuffer(rests, np.uint32).astype(U) | U(r << REST))
+        docs.append((np.frombuffer(ids, f"u{width}").astype(U) + U(base % (1 << 64))).view(np.int64))
+    return np.concatenate(keys), np.concatenate(docs)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -130,21 +161,21 @@ def _slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBat
         yield batch.slice(lo, rows)
 
 
-def _sign(k: int, num: int, den: int, lower: bool):
-    """Rows of three kinds: one for each document (set size and hash), signatures, and pairs that share a
-    signature within the task. A task sends one signature row for each key at most."""
+def _sign(k: int, num: int, den: int, lower: bool, bits: int = RANGES):
+    """Rows of three kinds: one for each document (set size and hash), signatures packed by range of keys (there are 2 ** ``bits``), and pairs
+    that share a signature among those held together. Of these, a key is sent once."""
 
     def flush(ids: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, key = np.concatenate(ids), np.concatenate(keys)
+        a, key = np.concatenate(ids), np.concatenate(keys) >> U(64 - REST - bits)
         order = np.lexsort((a, key))
         a, key = a[order], key[order]
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
-        yield from _slices(_emit(_SIGNATURE, key[lead], a[lead]))
+        yield from _slices(_packed(key[lead], a[lead]), TEXTS)
         pivot = a[np.flatnonzero(lead)][np.cumsum(lead) - 1]
         rest = ~lead & (pivot != a)
         if rest.any():
-            yield from _slices(_emit(_PAIR, key[rest], pivot[rest], a[rest]))
+            yield from _slices(_emit(_PAIR, key[rest], pivot[rest], a[rest], schema=_SIGN_ARROW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -161,7 +192,7 @@ def _sign(k: int, num: int, den: int, lower: bool):
                     at_row = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                     one[full], two[full] = np.add.reduceat(K.mix(h, 10), at_row), np.add.reduceat(K.mix(h, 11), at_row)
                 own = doc[lo:hi]
-                yield _emit(_META, one, own, two, n)
+                yield _emit(_META, one, own, two, n, _SIGN_ARROW)
                 # Equal sets within the task: the smallest id stands for them in the join.
                 order = np.lexsort((own, two, one))
                 head = np.ones(len(order), bool)
@@ -182,27 +213,38 @@ def _sign(k: int, num: int, den: int, lower: bool):
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by kind, key and document: links each signature row to the first one of its key. Holds one batch."""
-    last: tuple[int, int] | None = None
+    """Rows sorted by kind and key: links each document of a key to the key's first one. Holds one range of keys."""
+
+    def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, a = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((a, key))
+        key, a = key[order], a[order]
+        lead = np.ones(len(key), bool)
+        lead[1:] = key[1:] != key[:-1]
+        pivot = a[lead][np.cumsum(lead) - 1]
+        rest = pivot != a
+        if rest.any():
+            yield from _slices(_emit(_PAIR, key[rest], pivot[rest], a[rest]))
+
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
     for batch in batches:
         kind = batch.column(0).to_numpy(zero_copy_only=False)
         if (keep := kind != _SIGNATURE).any():
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(keep)).select(_PAIR_ARROW.names)
         if keep.all():
             continue
         part = batch.filter(pa.array(~keep))
-        key, a = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-        lead = np.ones(len(key), bool)
-        lead[1:] = key[1:] != key[:-1]
-        firsts = a[lead]
-        if last and last[0] == key[0]:
-            firsts = firsts.copy()
-            firsts[0] = last[1]
-        pivot = firsts[np.cumsum(lead) - 1]
-        last = int(key[-1]), int(pivot[-1])
-        rest = pivot != a
-        if rest.any():
-            yield _emit(_PAIR, key[rest], pivot[rest], a[rest])
+        ranges = part.column(1).to_numpy(zero_copy_only=False)
+        at = np.r_[np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]), len(ranges)]
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if parts and ranges[lo] != last:
+                yield from linked(parts)
+                parts = []
+            parts.append(_unpacked(part.slice(lo, hi - lo)))
+            last = ranges[lo]
+    if parts:
+        yield from linked(parts)
 
 
 def _keep_text(k: int, lower: bool):
@@ -226,7 +268,8 @@ def _keep_text(k: int, lower: bool):
 
 
 def _verify(k: int, num: int, den: int, lower: bool):
-    """(u, v, text of u, text of v) -> (u, v) of those that pass. Rows come sorted by u: its set is made once in a row."""
+    """(u, slot, v, text) -> (u, v) of those that pass. Within a slot of u, its own texts (v is null) come first and then those of its partners;
+    an id has several texts if its rows have. The sets of one u are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -235,17 +278,21 @@ def _verify(k: int, num: int, den: int, lower: bool):
             data = np.frombuffer(unpack.decompress(z), np.uint8)
             return sets(data, np.array([0, len(data)]), k, lower)[1]
 
-        kept, mine = None, None
+        def alike(one: np.ndarray, two: np.ndarray) -> bool:
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            return both * den >= num * (len(one) + len(two) - both)
+
+        place, mine = None, []
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            u, slot, v = (batch.column(i).to_pylist() for i in range(3))
             good = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = x.as_py(), y.as_py()
-                if x != kept:
-                    kept, mine = x, own(x)
-                other = own(y)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if both * den >= num * (len(mine) + len(other) - both):
+            for i, z in enumerate(batch.column(3)):
+                if (u[i], slot[i]) != place:
+                    place, mine = (u[i], slot[i]), []
+                made = own(z.as_py())
+                if v[i] is None:
+                    mine.append(made)
+                elif any(alike(x, made) for x in mine):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], names=["u", "v"])
 
@@ -287,10 +334,11 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     known = base.where("id is not null")
     parts = partitions(spark)
 
-    signed = known.mapInArrow(_sign(k, num, den, lower), _SIGN_SCHEMA)
-    # Signatures meet by their key; other rows are spread.
-    route = F.when(F.col("kind") == _SIGNATURE, F.col("key")).otherwise(F.xxhash64("key", "a", "b"))
-    paired = stash(signed.repartition(parts, route).sortWithinPartitions("kind", "key", "a").mapInArrow(_pair_up, _SIGN_SCHEMA), "pairs")
+    bits = max(RANGES, (parts - 1).bit_length())
+    signed = known.mapInArrow(_sign(k, num, den, lower, bits), _SIGN_SCHEMA)
+    # Signatures meet by the range of their key; other rows are spread.
+    route = F.when(F.col("kind") == _SIGNATURE, F.shiftright(F.col("key") * parts, bits)).otherwise(F.pmod(F.xxhash64("key", "a", "b"), F.lit(parts)))
+    paired = stash(signed.repartitionById(parts, route.cast("int")).sortWithinPartitions("kind", "key").mapInArrow(_pair_up, _PAIR_SCHEMA), "pairs")
 
     meta = paired.where(F.col("kind") == _META).select(F.col("a").alias("id"), "n", F.col("key").alias("h1"), F.col("b").alias("h2"))
     classes = meta.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
@@ -307,14 +355,22 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     ids = shared.select(F.col("ra").alias("id")).unionAll(shared.select(F.col("rb").alias("id"))).distinct()
     store = stash(known.join(ids, "id").mapInArrow(_keep_text(k, lower), _STORE_SCHEMA), "store", TEXTS)
 
+    if stands.groupBy("id").count().where("count > 1").head(1):
+        store, whole = stash(store.distinct(), "store", TEXTS), store
+        drop_stash(whole)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        left = store.select(F.col("id").alias("u"), F.col("ztext").alias("x")).distinct()
-        right = store.select(F.col("id").alias("v"), F.col("ztext").alias("y")).distinct()
-        joined = pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y")
-        return joined.repartition(parts, "u", F.pmod(F.xxhash64("v"), F.lit(64))).sortWithinPartitions("u").mapInArrow(_verify(k, num, den, lower), "u long, v long")
+        """The pairs that pass. A text moves to its id, and from there once to each place where pairs of it are verified."""
+        slots = pairs.groupBy("u").agg(F.expr(f"count(*) div {SLOT} + 1").alias("slots"))
+        dealt = stash(pairs.join(slots, "u").select("u", F.pmod(F.xxhash64("v"), "slots").alias("slot"), "v"), "dealt")
+        own = dealt.select(F.col("u").alias("id"), "u", "slot", F.lit(None).cast("long").alias("v")).distinct()
+        texts = store.select("id", "ztext").join(own.unionAll(dealt.select(F.col("v").alias("id"), "u", "slot", "v")), "id").select("u", "slot", "v", "ztext")
+        found = stash(texts.repartition(parts, "u", "slot").sortWithinPartitions("u", "slot", "v").mapInArrow(_verify(k, num, den, lower), "u long, v long"), "links", TEXTS)
+        drop_stash(dealt)
+        return found
 
     same = stands.where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    tested, links = [first], [stash(verified(first), "links", TEXTS)]
+    tested, links = [first], [verified(first)]
     group = components(links[0])
     members = stash(shared.select("key", F.col("ra").alias("id")).unionAll(shared.select("key", F.col("rb").alias("id"))).distinct(), "members")
     sketches = store.drop("ztext").distinct()
@@ -340,7 +396,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = stash(pairs, "tested")
         tested.append(pairs)
-        links.append(stash(verified(pairs), "links", TEXTS))
+        links.append(verified(pairs))
         drop_stash(rows)
         before, group = group, components(group.unionAll(links[-1]))
         drop_stash(before)
@@ -348,7 +404,10 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, lower:
     later = near.select(F.least("here.id", "there.id").alias("u"), F.greatest("here.id", "there.id").alias("v")).distinct()
     for done in tested:
         later = later.join(done, ["u", "v"], "left_anti")
-    whole = components(group.unionAll(verified(later)).unionAll(same))
+    later = stash(later, "tested")
+    tested.append(later)
+    links.append(verified(later))
+    whole = components(group.unionAll(links[-1]).unionAll(same))
     drop_stash(paired, shared, store, group, members, rows, *links, *tested[1:])
     whole = whole.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
