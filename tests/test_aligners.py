@@ -5,7 +5,9 @@ import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from clonarium import catalog, catalog_reports  # noqa: F401
 from clonarium.sources import aligners as A
 
 V = "CAGGTGCAGCTGGTGCAG"
@@ -138,6 +140,33 @@ def test_tables_meet_without_a_broadcast_of_rows(spark, tmp_path):
     assert ran.count("SortMergeJoin") == 3
 
 
+def steps(plan):
+    """All steps of a plan that has run."""
+    inside = {"AdaptiveSparkPlan": "executedPlan", "BroadcastQueryStage": "plan", "ShuffleQueryStage": "plan", "ResultQueryStage": "plan"}.get(plan.nodeName())
+    children = plan.children()
+    yield plan
+    for x in [getattr(plan, inside)()] if inside else [children.apply(i) for i in range(children.size())]:
+        yield from steps(x)
+
+
+def scanned(spark, folder, name, n=400):
+    """The rows of a registered query over ``n`` orders, those of its SQL, and how many rows each broadcast of its plan held."""
+    spark.range(n).select(F.col("id").alias("o_orderkey")).write.parquet(f"{folder}/orders.parquet")
+    spark.read.parquet(f"{folder}/orders.parquet").createOrReplaceTempView("orders")
+    out = catalog.QUERIES[name](spark, str(folder))
+    rows = sorted(map(tuple, out.collect()))
+    held = [x.metrics().apply("numOutputRows").value() for x in steps(out._jdf.queryExecution().executedPlan()) if x.nodeName() == "BroadcastExchange"]
+    wanted = sorted(map(tuple, spark.sql(catalog.SQL[name]).select(out.columns).collect()))
+    spark.catalog.dropTempView("orders")
+    return rows, wanted, held
+
+
+def test_scan_tables_calls_holds_no_rows_in_the_driver(spark, tmp_path):
+    rows, wanted, held = scanned(spark, tmp_path, "scan_tables_calls")
+    assert rows == wanted and len(rows) == 400
+    assert len(held) == 4 and max(held) <= 4  # partitions of each table
+
+
 def test_tables_that_disagree(spark, tmp_path):
     tables(tmp_path, third="other")
     with pytest.raises(PySparkException):
