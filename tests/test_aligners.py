@@ -167,6 +167,12 @@ def test_scan_tables_calls_holds_no_rows_in_the_driver(spark, tmp_path):
     assert len(held) == 4 and max(held) <= 4  # partitions of each table
 
 
+def test_scan_tables_sequences_holds_no_rows_in_the_driver(spark, tmp_path):
+    rows, wanted, held = scanned(spark, tmp_path, "scan_tables_sequences")
+    assert rows == wanted and len(rows) == 400
+    assert len(held) == 4 and max(held) <= 4  # partitions of each table
+
+
 def test_tables_that_disagree(spark, tmp_path):
     tables(tmp_path, third="other")
     with pytest.raises(PySparkException):
